@@ -68,3 +68,11 @@ def arrow_schema(ddl_or_struct):
 
     kind = ddl_or_struct if isinstance(ddl_or_struct, StructType) else StructType.fromDDL(ddl_or_struct)
     return to_arrow_schema(kind)
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """base, with underscores until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
