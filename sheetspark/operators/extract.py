@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addr import column_letter
 from ..functions.typing import cell_kind, strip
+from ..store import keep
 from ..model import KEY, PLATES, filled
 from .grid import join_regions
 
@@ -113,7 +114,7 @@ def quality(density_: Column, confidence: Column, rows: Column, cols: Column, sh
 
 def analyse(cells: DataFrame, tables: DataFrame, min_rows: int = 2, min_density: float = 0.3) -> DataFrame:
     """Per table: density, orientation, header place and confidence, first data row or column, quality and status."""
-    m = matrix(cells, tables)
+    m = matrix(cells, tables).transform(keep)
     d = density(m)
     v, x, p = vertical_headers(header_scores(m)), horizontal_headers(m), plates(m)
     titles = row_facts(m).where("not is_title").groupBy(*TABLE).agg(F.min("i").alias("first_row"))
@@ -129,7 +130,7 @@ def analyse(cells: DataFrame, tables: DataFrame, min_rows: int = 2, min_density:
     s = s.withColumns({"has_headers": has, "header_depth": depth.cast("int"), "first_row": F.coalesce("first_row", F.lit(0))})
     flat = F.col("orientation") == "horizontal"
     data0 = F.when(flat, F.lit(0)).otherwise(F.when(F.col("orientation") == "vertical", F.col("first_row")).otherwise(0) + F.col("header_depth"))
-    s = s.withColumn("data_row", data0.cast("int"))
+    s = s.withColumn("data_row", data0.cast("int")).transform(keep)
     body = m.join(s.select(*TABLE, "data_row", "orientation", "header_depth"), TABLE).where((F.col("i") >= F.col("data_row")) & ((F.col("orientation") != "horizontal") | (F.col("j") >= F.col("header_depth"))))
     full = body.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("data_cells"))
     s = s.join(full, TABLE, "left").fillna({"data_cells": 0})

@@ -2,7 +2,8 @@
 
 Rows are compressed to runs of columns first; components join runs, not cells. Splitting at format boundaries is a
 window over rows. The greedy, order-dependent merging works on island-level rows of one sheet, with runs to look
-into gaps. Scores are one join of cells with island bounds and a few aggregations.
+into gaps. Scores are one join of cells with island bounds and a few aggregations. Frames of runs and islands that
+several steps read are written to the shared folder and read back.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import keep
 from ..model import GOOD_SIZE, KEY, SMALL_SIZE, Config, filled, valued
 from .grid import join_regions
 from .boxes import bordered
@@ -299,8 +301,8 @@ def _merge_sheet(tolerance: int):
 
 def detect(cells: DataFrame, config: Config = Config()) -> DataFrame:
     """Islands of each sheet: seq, n, bounds and all scores."""
-    size = totals(cells)
-    runs = components(cells, config.max_gap)
+    size = totals(cells).transform(keep)
+    runs = components(cells, config.max_gap).transform(keep)
     big = extents(runs, ISLAND).join(size, KEY).where(F.col("n") >= least_size(F.col("total"), config))
     runs = runs.join(big.select(*KEY, *ISLAND, F.col("n").alias("whole"), "total", "max_row", "max_col"), [*KEY, *ISLAND])
     if config.use_border_detection:
@@ -308,7 +310,7 @@ def detect(cells: DataFrame, config: Config = Config()) -> DataFrame:
     else:
         cut = runs.withColumn("part", F.lit(0))
     facts = runs.select(*KEY, *ISLAND, "whole", "total", "max_row", "max_col").distinct()
-    parts = extents(cut, [*ISLAND, "part"]).join(facts, [*KEY, *ISLAND])
+    parts = extents(cut, [*ISLAND, "part"]).join(facts, [*KEY, *ISLAND]).transform(keep)
     every = row_runs(cells, 1)
     merged = parts.groupBy(*KEY).cogroup(every.groupBy(*KEY)).applyInPandas(_guard(_merge_sheet(config.empty_row_tolerance)), "file_id string, sheet_idx int, ir int, ic int, part int, seq int")
     whole = parts.join(merged, [*KEY, *ISLAND, "part"]).groupBy(*KEY, "seq").agg(F.sum("n").alias("n"), F.min("r0").alias("r0"), F.min("c0").alias("c0"), F.max("r1").alias("r1"), F.max("c1").alias("c1"))
@@ -328,7 +330,7 @@ def measure(cells: DataFrame, islands: DataFrame, ids: list[str]) -> DataFrame:
     size = totals(cells)
     own = [*KEY, *ids, "n", "r0", "c0", "r1", "c1"]
     r, c = F.col("r"), F.col("c")
-    at = join_regions(cells, islands.select(*own), 2)
+    at = join_regions(cells, islands.select(*own), 2).transform(keep)
     box = r.between(F.col("r0"), F.col("r1")) & c.between(F.col("c0"), F.col("c1"))
     at = at.withColumns({"box": box, "first": box & (r == F.col("r0")), "second": box & (r == F.col("r0") + 1)})
     text = valued() & (F.col("vtype") == "string")
@@ -345,7 +347,7 @@ def measure(cells: DataFrame, islands: DataFrame, ids: list[str]) -> DataFrame:
     tall = F.least("max_row", F.col("r1") + 2) - F.greatest(F.lit(0), F.col("r0") - 2) + 1
     area = wide * tall - width * height
     head = head.withColumns({"density": F.col("n") / (width * height), "ring_ratio": F.when(area > 0, F.col("ring") / area).otherwise(0.0)})
-    head = head.drop("texts", "bolds", "numbers", "ring")
+    head = head.drop("texts", "bolds", "numbers", "ring").transform(keep)
 
     inner = at.where("box").join(head.select(*KEY, *ids, "has_headers"), [*KEY, *ids])
     inner = inner.withColumn("body", (r > F.col("r0")) | ~F.col("has_headers"))
@@ -396,7 +398,7 @@ def confidence() -> Column:
 
 
 def score(cells: DataFrame, islands: DataFrame, ids: list[str]) -> DataFrame:
-    return measure(cells, islands, ids).withColumn("confidence", confidence())
+    return measure(cells, islands.transform(keep), ids).withColumn("confidence", confidence())
 
 
 # ---- structural rows

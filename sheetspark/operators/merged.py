@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addr import parse_range
 from ..functions.typing import is_numeric
+from ..store import keep
 from ..model import KEY, valued
 from .grid import inside, join_regions
 
@@ -76,10 +77,10 @@ def header_row_counts(cells: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def multi_row_headers(cells: DataFrame, tables: DataFrame) -> DataFrame:
-    """Tables with two header rows or more: each column's texts by header row, and a confidence."""
-    t = header_row_counts(cells, tables).where("n_header_rows > 1")
+    """Tables with two header rows or more: each column's texts by header row, and a confidence. Bold counts for cells that are not merged."""
+    t = header_row_counts(cells, tables).where("n_header_rows > 1").transform(keep)
     m = header_regions(regions(cells, t.select(*TABLE, "r0", "c0", "r1", "c1"))).join(t.select(*TABLE, "n_header_rows"), TABLE).where(F.col("m_r0") - F.col("r0") < F.col("n_header_rows"))
-    head = m.select(*TABLE, (F.col("m_r0") - F.col("r0")).alias("row"), F.col("m_c0").alias("lo"), F.col("m_c1").alias("hi"), "text", F.col("is_header").alias("bold"), F.lit(True).alias("merged"), "m_r0", "m_c0", "m_r1", "m_c1", "c0")
+    head = m.select(*TABLE, (F.col("m_r0") - F.col("r0")).alias("row"), F.col("m_c0").alias("lo"), F.col("m_c1").alias("hi"), "text", F.lit(False).alias("bold"), F.lit(True).alias("merged"), "m_r0", "m_c0", "m_r1", "m_c1", "c0")
     at = join_regions(cells, t.withColumn("r1", F.col("r0") + F.col("n_header_rows") - 1)).select(*TABLE, "r", "c", "val_str", "is_bold", "r0", "c0")
     cover = m.select(*TABLE, "m_r0", "m_c0", "m_r1", "m_c1")
     free = at.join(cover, (at.file_id == cover.file_id) & (at.sheet_idx == cover.sheet_idx) & (at.table_id == cover.table_id) & at.r.between(cover.m_r0, cover.m_r1) & at.c.between(cover.m_c0, cover.m_c1), "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addr import column_letter
 from ..functions.typing import strip
+from ..store import keep
 from ..model import KEY, PLATES, Config, truthy, valued
 from . import islands
 from .grid import join_regions
@@ -38,19 +39,21 @@ def plates(cells: DataFrame, regions: DataFrame, ids: list[str]) -> DataFrame:
 def wide_tables(cells: DataFrame) -> DataFrame:
     """Tables of 50 columns or more that start in the first ten rows: bounds, and the plate size where labels show one."""
     top = cells.where((F.col("c") < WIDE_COLS) & (F.col("r") < WIDE_ROWS + 4) & valued())
-    rows = top.groupBy(*KEY, "r").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    rows = top.groupBy(*KEY, "r").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.collect_list("c").alias("cols"))
     w = Window.partitionBy(*KEY).orderBy("r")
-    for k in (1, 2, 3, 4):
-        nxt = F.lead(F.struct("r", "n", "hi"), k).over(w)
-        rows = rows.withColumn(f"x{k}", F.when((nxt["r"] == F.col("r") + k) & (nxt["n"] >= 0.3 * F.col("n")), nxt))
+    go, last = F.lit(True), F.col("r")
+    for k in (1, 2, 3, 4):  # a next row goes on with the table if it has enough cells under the first row's span
+        nxt = F.lead(F.struct("r", "cols"), k).over(w)
+        rows = rows.withColumn(f"x{k}", (nxt["r"] == F.col("r") + k) & (F.size(F.filter(nxt["cols"], lambda c: c.between(F.col("lo"), F.col("hi")))) >= 0.3 * F.col("n")))
+        go = go & F.coalesce(f"x{k}", F.lit(False))
+        last = F.when(go, F.col("r") + k).otherwise(last)
     starts = rows.where((F.col("r") < WIDE_ROWS) & (F.col("n") >= WIDE))
-    go, last, right = F.lit(True), F.col("r"), F.col("hi")
-    for k in (1, 2, 3, 4):
-        go = go & F.col(f"x{k}").isNotNull()
-        last, right = F.when(go, F.col(f"x{k}")["r"]).otherwise(last), F.when(go, F.greatest(right, F.col(f"x{k}")["hi"])).otherwise(right)
-    found = starts.select(*KEY, F.col("r").alias("r0"), F.col("lo").alias("c0"), last.alias("r1"), right.alias("c1")).where(F.col("c1") - F.col("c0") >= WIDE)
-    # a row that an earlier table of the sheet takes in starts none of its own
-    found = found.withColumn("until", F.max("r1").over(Window.partitionBy(*KEY).orderBy("r0").rowsBetween(Window.unboundedPreceding, -1))).where("until is null or r0 > until").drop("until")
+    starts = starts.select(*KEY, F.struct(F.col("r").alias("r0"), F.col("lo").alias("c0"), last.cast("int").alias("r1"), F.col("hi").alias("c1")).alias("t"))
+    # ten starts a sheet at most: in order, a row that a table before takes in starts none of its own
+    free = lambda a, t: F.when((F.size(a) == 0) | (t["r0"] > F.element_at(a, -1)["r1"]), F.concat(a, F.array(t))).otherwise(a)
+    found = starts.groupBy(*KEY).agg(F.sort_array(F.collect_list("t")).alias("all"))
+    none = F.slice("all", 1, 0)
+    found = found.select(*KEY, F.inline(F.aggregate("all", none, lambda a, t: F.when(F.size(a) == 0, F.array(t)).otherwise(free(a, t))))).where(F.col("c1") - F.col("c0") >= WIDE)
     label = F.array(*[F.lit(str(i)) for i in range(1, 13)])
     at = join_regions(cells.select(*KEY, "r", "c", "val_str"), found).where("r = r0").groupBy(*KEY, "r0", "c0", "r1", "c1").agg(F.size(F.array_intersect(F.collect_set(strip(F.col("val_str"))), label)).alias("labels"))
     width, height = F.col("c1") - F.col("c0") + 1, F.col("r1") - F.col("r0") + 1
@@ -70,7 +73,7 @@ def enhance(cells: DataFrame, tables: DataFrame, ids: list[str]) -> DataFrame:
 
 def detect(cells: DataFrame) -> DataFrame:
     """Tables of a text sheet: plates, regular tables under 50 columns, and wide tables whose range is not taken."""
-    found = islands.detect_structural(cells, Config(min_island_size=2, empty_row_tolerance=1)).select(*KEY, "seq", "r0", "c0", "r1", "c1", "confidence")
+    found = islands.detect_structural(cells, Config(min_island_size=2, empty_row_tolerance=1)).select(*KEY, "seq", "r0", "c0", "r1", "c1", "confidence").transform(keep)
     plate = plates(cells, found, ["seq"]).select(*KEY, "seq", "wells")
     found = found.join(plate, [*KEY, "seq"], "left")
     regular = found.where((F.col("wells").isNotNull()) | (F.col("c1") - F.col("c0") + 1 < WIDE)).select(
@@ -85,6 +88,6 @@ def detect(cells: DataFrame) -> DataFrame:
     )
     wide = wide_tables(cells).join(regular.select(*KEY, "r0", "c0", "r1", "c1"), [*KEY, "r0", "c0", "r1", "c1"], "left_anti")
     wide = wide.select(*KEY, "r0", "c0", "r1", "c1", F.lit(0.85).alias("confidence"), F.lit("wide_table_detection").alias("method"), F.concat_ws("_", F.lit("wide"), "r0", "c0").alias("table_id"))
-    both = regular.unionByName(wide)
+    both = regular.unionByName(wide).transform(keep)
     named = headers(cells, both, ["table_id"], lambda c: F.concat(F.lit("Column_"), (c + 1).cast("string")))
     return enhance(cells, both.join(named, [*KEY, "table_id"], "left"), ["table_id"])

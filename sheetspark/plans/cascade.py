@@ -1,4 +1,7 @@
-"""Table detection of sheets: the cheap detectors first, each later one only for sheets that are still open."""
+"""Table detection of sheets: the cheap detectors first, each later one only for sheets that are still open.
+
+Table-level results of a detector are written to the shared folder, since later ones and the final filter read them.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEY, Config, valued
 from ..operators import boxes, islands, simple, structured
+from ..store import keep
 from ..operators.grid import join_regions, totals_of
 
 OUT = [*KEY, "table_id", "r0", "c0", "r1", "c1", "confidence", "method", "has_headers"]
@@ -23,14 +27,14 @@ def detect_tables(cells: DataFrame, sheets: DataFrame | None = None, config: Con
     if "file_type" not in kinds.columns:
         kinds = kinds.withColumn("file_type", F.lit(None).cast("string"))
     threshold = config.confidence_threshold
-    s = simple.detect(cells).where("is_simple") if config.enable_simple else simple.detect(cells).where(F.lit(False))
+    s = simple.detect(cells).where(F.col("is_simple") & F.lit(config.enable_simple))
     area = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
     ultra = (F.col("confidence") >= ULTRA_FAST) & (area > LARGE_AREA)
     s = s.withColumn("method", F.when(ultra, "ultra_fast").when(F.col("confidence") >= FAST, "simple_case_fast"))
-    s = s.withColumn("table_id", F.concat_ws("_", F.lit("simple"), "r0", "c0"))
+    s = s.withColumn("table_id", F.concat_ws("_", F.lit("simple"), "r0", "c0")).transform(keep)
     done = s.where("method is not null")
     found = [done.select(*OUT)]
-    open_ = kinds.join(done.select(*KEY), KEY, "left_anti")
+    open_ = kinds.join(done.select(*KEY), KEY, "left_anti").transform(keep)
 
     def rest(of: DataFrame) -> DataFrame:
         return cells.join(of.select(*KEY), KEY, "left_semi")
@@ -39,13 +43,14 @@ def detect_tables(cells: DataFrame, sheets: DataFrame | None = None, config: Con
     if config.enable_boxes and config.use_border_detection:
         where = rest(open_.where(~F.coalesce(F.col("file_type").isin("csv", "tsv", "txt"), F.lit(False))))
         b = boxes.detect(where)
-        b = b.join(_has_headers(where, b), [*KEY, "table_id"]).select(*OUT)
+        b = b.transform(keep)
+        b = b.join(_has_headers(where, b), [*KEY, "table_id"]).select(*OUT).transform(keep)
         found.append(b)
-        open_ = open_.join(b.select(*KEY).distinct(), KEY, "left_anti")
+        open_ = open_.join(b.select(*KEY).distinct(), KEY, "left_anti").transform(keep)
     if config.enable_islands:
-        t = structured.detect(rest(open_.where(text))).withColumn("has_headers", F.col("instrument_output")).select(*OUT)
+        t = structured.detect(rest(open_.where(text))).withColumn("has_headers", F.col("instrument_output")).select(*OUT).transform(keep)
         i = islands.detect(rest(open_.where(~text)), config).where(F.col("confidence") >= threshold)
-        i = i.withColumns({"table_id": F.concat_ws("_", F.lit("island"), "r0", "c0"), "method": F.lit("island_detection")}).select(*OUT)
+        i = i.withColumns({"table_id": F.concat_ws("_", F.lit("island"), "r0", "c0"), "method": F.lit("island_detection")}).select(*OUT).transform(keep)
         found += [t, i]
         open_ = open_.join(t.select(*KEY).unionByName(i.select(*KEY)).distinct(), KEY, "left_anti")
     fallback = s.where(F.col("method").isNull() & (F.col("confidence") >= threshold)).join(open_.select(*KEY), KEY, "left_semi")
@@ -53,7 +58,7 @@ def detect_tables(cells: DataFrame, sheets: DataFrame | None = None, config: Con
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    return _finish(cells, every, config)
+    return _finish(cells, every.transform(keep), config)
 
 
 def _has_headers(cells: DataFrame, tables: DataFrame) -> DataFrame:
@@ -78,5 +83,6 @@ def _finish(cells: DataFrame, tables: DataFrame, config: Config) -> DataFrame:
         out = out.where(F.col("seq") < config.max_tables_per_sheet)
     share = F.col("n_cells") / F.col("total")
     out = out.withColumn("size_class", F.when(share >= 0.05, "large").when(share >= 0.01, "medium").otherwise("small"))
+    out = out.transform(keep)
     named = simple.headers(cells, out, ["table_id"])
     return out.join(named, [*KEY, "table_id"], "left").withColumn("headers", F.when(F.col("has_headers") | (F.col("method") == "island_detection"), F.col("headers")))

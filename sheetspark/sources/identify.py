@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 BUFFER = 8192
 EXTENSIONS = {".xlsx": "xlsx", ".xls": "xls", ".xlsm": "xlsm", ".xlsb": "xlsb", ".csv": "csv", ".tsv": "tsv", ".txt": "txt"}
@@ -84,7 +85,7 @@ def by_text(text: Column) -> Column:
     return F.when(s >= 2, F.struct(kind.alias("file_type"), top.alias("confidence"))).when((filled >= 2) & (F.length(text) > 50), F.struct(F.lit("txt").alias("file_type"), F.lit(0.7).alias("confidence")))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def zip_members(content: pd.Series) -> pd.Series:
     """Names in a zip archive; null for what is none."""
 
@@ -132,7 +133,7 @@ def by_patterns(content: Column) -> Column:
 FALLBACKS = ("utf-8", "utf-16-le", "utf-16-be", "utf-16", "latin-1", "cp1252", "iso-8859-1", "ascii", "cp437", "cp850", "utf-32-le", "utf-32-be")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decodes_as(content: pd.Series) -> pd.Series:
     """The first encoding that decodes the first bytes strictly to text of which over 0.7 prints."""
 
