@@ -270,12 +270,12 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         media = write(payload)
         stream = parse(media)
         back = payload_of(media, stream)
-        return [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream), *([media, stream.offsets] if with_media else [])]
+        return [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream), *([media, list(stream.offsets)] if with_media else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one((text.as_py() or "").encode()) for text in batch.column(1)]
-            columns = [batch.column(0), *(pa.array(c) for c in zip(*rows))] if rows else [f.type and pa.array([], f.type) for f in fields]
+            columns = [batch.column(0), *(pa.array(c) for c in zip(*rows))] if rows else [pa.array([], f.type) for f in fields]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields)], schema=fields)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
