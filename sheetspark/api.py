@@ -11,6 +11,7 @@ from .plans.cascade import detect_tables as detect_cells
 from .sources import identify as ident
 from .sources.registry import read_cells
 from .sources.xlsx import sheets_of
+from .store import keep
 
 
 def identify(spark: SparkSession, path, config: Config = Config(), **options) -> DataFrame:
@@ -22,17 +23,20 @@ def identify(spark: SparkSession, path, config: Config = Config(), **options) ->
 
 def detect_tables(spark: SparkSession, path, config: Config = Config(), **options) -> DataFrame:
     """Tables of all files under path: file_id, sheet_idx, range bounds, confidence, method, headers."""
-    files = identify(spark, path, config, **options).where("error is null")
-    cells = read_cells(files)
-    sheets = cells.select(*KEY).distinct().join(files.select(F.col("path").alias("file_id"), "file_type"), "file_id")
+    cells, sheets = _read(identify(spark, path, config, **options))
     return detect_cells(cells, sheets, config)
 
 
+def _read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of the files without error, parsed once and kept, and their sheets with the file's type."""
+    good = files.where("error is null")
+    cells = read_cells(good).transform(keep)
+    return cells, cells.select(*KEY).distinct().join(good.select(F.col("path").alias("file_id"), "file_type"), "file_id").transform(keep)
+
+
 def extract_tables(spark: SparkSession, path, config: Config = Config(), **options) -> DataFrame:
     """Long form of every table found under path."""
-    files = identify(spark, path, config).where("error is null")
-    cells = read_cells(files)
-    sheets = cells.select(*KEY).distinct().join(files.select(F.col("path").alias("file_id"), "file_type"), "file_id")
+    cells, sheets = _read(identify(spark, path, config))
     return extract.extract(cells, detect_cells(cells, sheets, config), **options)
 
 

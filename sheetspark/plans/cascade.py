@@ -36,8 +36,20 @@ def detect_tables(cells: DataFrame, sheets: DataFrame | None = None, config: Con
     found = [done.select(*OUT)]
     open_ = kinds.join(done.select(*KEY), KEY, "left_anti").transform(keep)
 
+    if not open_.isEmpty():
+        found += _later(cells, s, open_, threshold, config)
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return _finish(cells, every.transform(keep), config)
+
+
+def _later(cells: DataFrame, s: DataFrame, open_: DataFrame, threshold: float, config: Config) -> list[DataFrame]:
+    """Tables of the sheets that are still open: boxes, then islands or text structure, then a weaker single table."""
+    found = []
+
     def rest(of: DataFrame) -> DataFrame:
-        return cells.join(of.select(*KEY), KEY, "left_semi")
+        return cells.join(of.select(*KEY), KEY, "left_semi").transform(keep)
 
     text = F.coalesce(F.col("file_type").isin("tsv", "txt"), F.lit(False))
     if config.enable_boxes and config.use_border_detection:
@@ -48,17 +60,19 @@ def detect_tables(cells: DataFrame, sheets: DataFrame | None = None, config: Con
         found.append(b)
         open_ = open_.join(b.select(*KEY).distinct(), KEY, "left_anti").transform(keep)
     if config.enable_islands:
-        t = structured.detect(rest(open_.where(text))).withColumn("has_headers", F.col("instrument_output")).select(*OUT).transform(keep)
-        i = islands.detect(rest(open_.where(~text)), config).where(F.col("confidence") >= threshold)
-        i = i.withColumns({"table_id": F.concat_ws("_", F.lit("island"), "r0", "c0"), "method": F.lit("island_detection")}).select(*OUT).transform(keep)
-        found += [t, i]
-        open_ = open_.join(t.select(*KEY).unionByName(i.select(*KEY)).distinct(), KEY, "left_anti")
+        texts, others = open_.where(text).transform(keep), open_.where(~text).transform(keep)
+        parts = []
+        if not texts.isEmpty():
+            parts.append(structured.detect(rest(texts)).withColumn("has_headers", F.col("instrument_output")).select(*OUT).transform(keep))
+        if not others.isEmpty():
+            i = islands.detect(rest(others), config).where(F.col("confidence") >= threshold)
+            parts.append(i.withColumns({"table_id": F.concat_ws("_", F.lit("island"), "r0", "c0"), "method": F.lit("island_detection")}).select(*OUT).transform(keep))
+        found += parts
+        for x in parts:
+            open_ = open_.join(x.select(*KEY).distinct(), KEY, "left_anti")
     fallback = s.where(F.col("method").isNull() & (F.col("confidence") >= threshold)).join(open_.select(*KEY), KEY, "left_semi")
     found.append(fallback.withColumn("method", F.lit("simple_case")).select(*OUT))
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    return _finish(cells, every.transform(keep), config)
+    return found
 
 
 def _has_headers(cells: DataFrame, tables: DataFrame) -> DataFrame:
