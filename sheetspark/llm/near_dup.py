@@ -8,7 +8,9 @@ their members to the node's pivot and branch again. Two sets of similarity s mee
 probability s^d, so `trees` of them are enough for the target recall: a pair at the threshold that parts company at
 depth 3 is missed by all of 12 trees with probability (1 - .85^3)^12, below 1e-4.
 
-Every candidate pair is confirmed by the exact intersection and union of both full sets. Pairs within a group of
+A pair whose minhash values agree far less often than the threshold asks (by SLACK, over five standard deviations:
+a chance below 1e-7) is no candidate. Every candidate is confirmed by the exact intersection and union of both full
+sets. Pairs within a group of
 copies are never all emitted: first pivots link what they can, connected components are formed from the confirmed
 links, and then only pairs of different components are compared. Components come from alternating large-star and
 small-star steps, each one or two shuffles of the link table; no link or component goes to the driver.
@@ -29,9 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut
+from .common import arrow_schema, cut, discard
 
 COORDINATES, SMALL, TREES, DEPTH = 64, 24, 12, 10
+#: A candidate's share of equal minhash values may be so much below the threshold.
+SLACK = 0.28
 #: Trees whose pivots give the first links.
 FIRST_TREES = 4
 #: Bytes of a shingle's hash in a stored set: two sets of 10^4 shingles share a false one with probability below 10^-6.
@@ -90,25 +94,26 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def sign(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, d1, d2 (digest of the set), sig (minhash values; empty for an empty set)."""
-    schema = "id long, n long, d1 long, d2 long, sig array<int>"
+    """id, n, d1, d2 (digest of the set), sig (minhash values; empty for an empty set), sketch (their lowest bytes)."""
+    schema = "id long, n long, d1 long, d2 long, sig array<int>, sketch binary"
     fields = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         add, times = _hashes()
         for batch in batches:
-            n, digests, sigs, ends = [], [], [], [0]
+            n, digests, sigs, ends, low = [], [], [], [0], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), k, cache)
                 n.append(len(s))
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
                 if len(s):
                     sigs.append(minhashes(s, add, times))
+                low.append((sigs[-1] & 0xFF).astype(np.uint8).tobytes() if len(s) else b"")
                 ends.append(len(sigs) * COORDINATES)
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int32)
             d = np.array(digests).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)).cast(fields[4].type)], schema=fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)).cast(fields[4].type), pa.array(low, pa.binary())], schema=fields)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 
@@ -159,6 +164,21 @@ def _similar(percent: int):
     return run
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose minhash values agree often enough for the full sets to be looked at."""
+    fields = arrow_schema("a long, b long")
+    least = COORDINATES * (percent / 100 - SLACK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 3))
+            keep = pa.array((x == y).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=fields)
+
+    left, right = (sets.select(F.col("id").alias(n), F.col("sketch").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. docs: a row for each class."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -174,7 +194,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str
     left = packed.select(F.col("id").alias("a"), F.col("packed").alias("x"))
     right = packed.select(F.col("id").alias("b"), F.col("packed").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(_similar(percent), "a long, b long"), "links")
+    links = cut(both.mapInArrow(_similar(percent), "a long, b long"), "links")
+    discard(packed)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,12 +234,12 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES,
     own = some.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     # rows with equal ids and different sets join their classes
     joined = some.select("id", "d1", "d2").join(own, ["d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    sets = some.join(own.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi").groupBy("id").agg(F.first("sig").alias("sig"))
+    sets = some.join(own.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi").groupBy("id").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     sets = cut(sets, "classes")
     found = cut(nodes(sets, trees), "nodes")
     texts = docs.join(sets.select(F.col("id").alias("_class")), F.col(id_col) == F.col("_class"), "left_semi")
 
-    first = cut(_ordered(found.where(F.col("tree") < FIRST_TREES), "id", "pivot"), "pairs")
+    first = cut(plausible(_ordered(found.where(F.col("tree") < FIRST_TREES), "id", "pivot"), sets, percent), "pairs")
     links = confirm(first, texts, k, percent, id_col, text_col)
     labels = cut(components(links), "labels")
 
@@ -231,7 +253,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES,
     heads = deep.groupBy("tree", "path", "own").agg(F.min("id").alias("head")).withColumnRenamed("own", "other")
     deep = deep.join(heads, ["tree", "path"]).where("own <> other")
     second = stars.unionByName(_ordered(small, "i", "j")).unionByName(_ordered(deep, "id", "head")).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirm(cut(second, "pairs"), texts, k, percent, id_col, text_col)
+    more = confirm(cut(plausible(second, sets, percent), "pairs"), texts, k, percent, id_col, text_col)
 
     final = components(links.unionByName(more).unionByName(joined))
     out = _labelled(signed.select("id", "n"), final, "id", "component_id")
