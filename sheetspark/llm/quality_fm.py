@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, free_name, held_out
 
-SAMPLE, SLOTS, RANK = 8_000, 1 << 16, 8
+SAMPLE, SLOTS, RANK = 4_000, 1 << 16, 8
 THRESHOLD = 0.7
 _SHAPE = re.compile(r"(.)\1+", re.S)
 
@@ -147,18 +147,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     some = labels.where(F.col(label_col).isNotNull() & key.isNotNull() & ~held_out(key))
     some = some.select(key.alias("_id"), F.col(label_col).cast("int").alias("_y"))
     chosen = some.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    fields = arrow_schema("y int, id string, slots array<long>, weights array<double>")
+    schema = "y int, id string, slots binary, weights binary"  # packed, so that the driver holds a few MB
+    fields = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], fields[2].type), pa.array([f[1] for f in found], fields[3].type)], schema=fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary())], schema=fields)
 
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     joined = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # sample rows at most
-    rows = joined.select("_y", F.col("_id").cast("string").alias("_key"), "_text").mapInArrow(run, "y int, id string, slots array<long>, weights array<double>")
-    rows = rows.orderBy(F.xxhash64("id"), "id", "y").limit(2 * sample).collect()
-    return fit([(np.array(r.slots, np.int64), np.array(r.weights)) for r in rows], np.array([r.y for r in rows], float))
+    rows = joined.select("_y", F.col("_id").cast("string").alias("_key"), "_text").mapInArrow(run, schema)
+    rows = sorted(rows.limit(2 * sample).collect(), key=lambda r: (zlib.crc32(r.id.encode()), r.id, r.y))
+    return fit([(np.frombuffer(r.slots, np.int32), np.frombuffer(r.weights, np.float32)) for r in rows], np.array([r.y for r in rows], float))
 
 
 def score(docs: DataFrame, machine: Machine, extra: list[Column], text_col: str = "text", out: str = "score") -> DataFrame:
