@@ -36,7 +36,7 @@ from .common import arrow_schema, cut, discard
 COORDINATES, SMALL, TREES, DEPTH = 64, 24, 12, 10
 #: A candidate's share of equal minhash values may be so much below the threshold.
 SLACK = 0.28
-#: Trees whose pivots give the first links.
+#: Trees whose first nodes' pivots give the first links: the pivot of a group of copies is the same in most of them.
 FIRST_TREES = 4
 #: Bytes of a shingle's hash in a stored set: two sets of 10^4 shingles share a false one with probability below 10^-6.
 WIDTH = 6
@@ -181,7 +181,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. docs: a row for each class."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     fields = arrow_schema("id long, packed binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +199,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str
     return links
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: each component is its least id with all others linked to it."""
+    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    return several.isEmpty() and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, label (least id reachable) of every id that a link names. links: a, b in any direction."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -211,10 +216,6 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).where("u <> v").distinct()
         edges = cut(small, "small-star")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == state:
-            break
-        state = now
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("id"), "label").unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
@@ -239,7 +240,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES,
     found = cut(nodes(sets, trees), "nodes")
     texts = docs.join(sets.select(F.col("id").alias("_class")), F.col(id_col) == F.col("_class"), "left_semi")
 
-    first = cut(plausible(_ordered(found.where(F.col("tree") < FIRST_TREES), "id", "pivot"), sets, percent), "pairs")
+    first = cut(plausible(_ordered(found.where((F.col("tree") < FIRST_TREES) & (F.col("depth") == 1)), "id", "pivot"), sets, percent), "pairs")
     links = confirm(first, texts, k, percent, id_col, text_col)
     labels = cut(components(links), "labels")
 
