@@ -4,7 +4,7 @@ A profile is the list of a language's most frequent letter n-grams (1 to 3 chara
 either side) in order. A document's own list is compared with each: every n-gram adds how far out of place it is,
 or the length of a profile where the language lacks it. The nearest profile wins, ties by language.
 
-Profiles are counted over all training rows: tasks count words, Spark sums them, and only the fixed number of
+Profiles are counted over all training rows: tasks count n-grams, Spark sums them, and only the fixed number of
 n-grams a language comes to the driver. Counts are exact.
 
 Defined results: null text or text without a letter: `und`, score 0; so is every text if nothing was learned;
@@ -15,7 +15,6 @@ read, so other columns cannot clash.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,87 +33,81 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def word_grams(word: str) -> np.ndarray:
-    """Keys of all n-grams of a word, 21 bits a character, so that equal keys are equal n-grams."""
-    c = np.frombuffer(f" {word} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-    two = c[:-1] << 21 | c[1:]
-    return np.concatenate([c[1:-1], two, two[:-1] << 21 | c[2:]])
-
-
-def gram_key(gram: str) -> int:
-    key = 0
-    for c in gram:
-        key = key << 21 | ord(c)
-    return key
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the text's n-grams in order, 21 bits a character so that equal keys are equal n-grams, and how often each comes.
+
+    The words stand with one space between; an n-gram of three never has the space in its middle.
+    """
+    words = WORDS(text.lower())
+    joined = " ".join(words)
+    if words and not joined.replace(" ", "").isalpha():
+        joined = " ".join(w for x in words if (w := letters(x)))
+    if not joined:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer(f" {joined} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    seen = np.bincount(codes) > 0
+    chars = np.flatnonzero(seen)  # the space comes first
+    at = (np.cumsum(seen) - 1)[codes]
+    k = len(chars)
+    two, middle = at[:-1] * k + at[1:], at[1:-1] > 0
+    three = (two[:-1] * k + at[2:])[middle]
+    one, pairs = np.bincount(at, minlength=k), np.bincount(two, minlength=k * k)
+    one[0] = 0
+    if k <= 96:
+        triples = np.bincount(three, minlength=1)
+        c = np.flatnonzero(triples)
+        n = triples[c]
+    else:
+        c, n = np.unique(three, return_counts=True)
+    a, b = np.flatnonzero(one), np.flatnonzero(pairs)
+    keys = np.concatenate([chars[a], chars[b // k] << 21 | chars[b % k], chars[c // (k * k)] << 42 | chars[c // k % k] << 21 | chars[c % k]])
+    return keys, np.concatenate([one[a], pairs[b], n])
+
+
+def gram_of(key: int) -> str:
+    out = ""
+    while key:
+        out, key = chr(key & 0x1FFFFF) + out, key >> 21
+    return out
 
 
 def train(docs: DataFrame, size: int = 400, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, gram, place (0: most frequent; ties by n-gram) over all rows whose lang and text are not null."""
-    fields = arrow_schema("lang string, word string, n long")
+    """lang, gram (its key), place (0: most frequent; ties by key) over all rows whose lang and text are not null."""
+    schema = "lang string, gram long, n long"
+    fields = arrow_schema(schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-
-        def flush():
-            rows = [(lang, w, n) for lang, c in seen.items() for word, n in c.items() if (w := letters(word))]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), fields)] if rows else [pa.array([], f.type) for f in fields], schema=fields)
-
         for batch in batches:
+            found: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen.setdefault(lang, Counter()).update(WORDS(text.as_py().lower()))
-                if sum(map(len, seen.values())) > 200_000:
-                    yield flush()
-        yield flush()
+                found.setdefault(lang, []).append(gram_counts(text.as_py()))
+            for lang, parts in found.items():
+                keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], schema=fields)
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    chars = F.length("word")
-
-    def pieces(k: int):
-        return F.transform(F.sequence(F.lit(2 if k == 1 else 1), chars + (1 if k == 1 else 3 - k)), lambda i: F.substring(padded, i, F.lit(k)))
-
-    grams = words.select("lang", "n", F.explode(F.concat(*map(pieces, (1, 2, 3)))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = rows.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return grams.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size).select("lang", "gram", "place")
 
 
 class Profiles:
-    def __init__(self, rows: list[tuple[str, str, int]], size: int):
+    def __init__(self, rows: list[tuple[str, int, int]], size: int):
         self.size = size
         self.langs = sorted({lang for lang, _, _ in rows})
-        keys = sorted({gram_key(g) for _, g, _ in rows})
-        self.keys = np.array(keys, np.int64)
-        self.places = np.full((len(keys), len(self.langs)), -1, np.int64)
-        at = {k: i for i, k in enumerate(keys)}
+        self.keys = np.array(sorted({g for _, g, _ in rows}), np.int64)
+        self.places = np.full((len(self.keys), len(self.langs)), -1, np.int64)
         for lang, gram, place in rows:
-            self.places[at[gram_key(gram)], self.langs.index(lang)] = place
+            self.places[np.searchsorted(self.keys, gram), self.langs.index(lang)] = place
 
-    def top(self, text: str, cache: dict) -> np.ndarray:
+    def top(self, text: str) -> np.ndarray:
         """The text's most frequent n-grams, ties by key."""
-        words = Counter(WORDS(text.lower()))
-        parts, times = [], []
-        for word, n in words.items():
-            grams = cache.get(word)
-            if grams is None:
-                own = letters(word)
-                grams = word_grams(own) if own else np.zeros(0, np.int64)
-                if len(word) <= 40:
-                    if len(cache) > 200_000:
-                        cache.clear()
-                    cache[word] = grams
-            if len(grams):
-                parts.append(grams)
-                times.append(n)
-        if not parts:
-            return np.zeros(0, np.int64)
-        keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(inverse, np.repeat(times, [len(p) for p in parts]))
+        keys, n = gram_counts(text)
         return keys[np.argsort(-n, kind="stable")[: self.size]]
 
-    def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
-        top = self.top(text or "", cache) if self.langs else ()
+    def predict(self, text: str | None) -> tuple[str, float]:
+        top = self.top(text or "") if self.langs else ()
         if not len(top):
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.keys, top), len(self.keys) - 1)
@@ -130,9 +123,8 @@ def predict(docs: DataFrame, profiles: Profiles, held: Column, id_col: str = "do
     fields = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         for batch in batches:
-            found = [profiles.predict(text.as_py(), cache) for text in batch.column(2)]
+            found = [profiles.predict(text.as_py()) for text in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields)], schema=fields)
 
