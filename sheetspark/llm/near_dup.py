@@ -4,9 +4,10 @@ A document is its set of word shingles. Equal sets are one class from the start,
 class has a row of minhash values, one for each of COORDINATES hash functions. In each of a number of independent
 trees a node branches on one coordinate, which a hash of the node's path selects: members with the same value at
 that coordinate go to the same child. Nodes of at most SMALL members are compared exhaustively; larger nodes link
-their members to the node's pivot and branch again. Two sets of similarity s meet in a small node at depth d with
-probability s^d, so `trees` of them are enough for the target recall: a pair at the threshold that parts company at
-depth 3 is missed by all of 12 trees with probability (1 - .85^3)^12, below 1e-4.
+their members to the node's pivot and branch again, down to the last depth. Two sets of similarity s meet in a node at
+depth d with probability s^d. The last depth is the greatest at which all trees miss a pair at the threshold with
+probability MISS or less: 3 for .85 and 12 trees (1.1e-5), 2 for .8 (4.7e-6). Nodes still large there are compared
+exhaustively too, in salted blocks of members, whatever their size; the recall of the last depth holds for all pairs.
 
 A pair whose minhash values agree far less often than the threshold asks (by SLACK, over five standard deviations:
 a chance below 1e-7) is no candidate. Every candidate is confirmed by the exact intersection and union of both full
@@ -34,6 +35,10 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, cut, discard
 
 COORDINATES, SMALL, TREES, DEPTH = 64, 24, 12, 10
+#: A pair at the threshold may be missed by all trees with this probability.
+MISS = 1e-4
+#: Members of a large node in one block; a task compares two blocks.
+BLOCK = 512
 #: A candidate's share of equal minhash values may be so much below the threshold.
 SLACK = 0.28
 #: Trees whose first nodes' pivots give the first links: the pivot of a group of copies is the same in most of them.
@@ -124,18 +129,18 @@ def _branch(path):
     return F.xxhash64(path, F.get("sig", at))
 
 
-def nodes(sets: DataFrame, trees: int) -> DataFrame:
-    """tree, path, id, size, pivot, depth of all nodes with two members or more. sets: id, sig, one row for each class."""
+def nodes(sets: DataFrame, trees: int, last: int) -> DataFrame:
+    """tree, path, id, size, pivot, depth of all nodes with two members or more, down to depth last. sets: id, sig, one row for each class."""
     rank = F.xxhash64(F.lit(3), "id")
     members = sets.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     members = members.select("tree", _branch(F.xxhash64(F.lit(5), "tree")).alias("path"), "id")
     found = []
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, last + 1):
         kinds = members.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(rank, "id")).alias("least")).where("size > 1")
         level = cut(members.join(kinds.select("tree", "path", "size", F.col("least")["id"].alias("pivot")), ["tree", "path"]).withColumn("depth", F.lit(depth)), f"paths{depth}")
         found.append(level)
         large = level.where(F.col("size") > SMALL)
-        if depth == DEPTH or large.isEmpty():
+        if depth == last or large.isEmpty():
             break
         members = large.select("tree", "path", "id").join(sets, "id").select("tree", _branch(F.col("path")).alias("path"), "id")
     out = found[0]
@@ -179,9 +184,8 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. docs: a row for each class."""
-    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _packed(involved: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """id, packed (the full set) of the ids involved."""
     fields = arrow_schema("id long, packed binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +194,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(shingles(t.as_py(), k, cache)) for t in batch.column(1)], pa.binary())], schema=fields)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi")
-    packed = cut(texts.mapInArrow(run, "id long, packed binary").dropDuplicates(["id"]), "sets")
+    return cut(texts.mapInArrow(run, "id long, packed binary").dropDuplicates(["id"]), "sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. docs: a row for each class."""
+    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    packed = _packed(involved, docs, k, id_col, text_col)
     left = packed.select(F.col("id").alias("a"), F.col("packed").alias("x"))
     right = packed.select(F.col("id").alias("b"), F.col("packed").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
@@ -199,6 +209,86 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str
     return links
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of left with each of right, by products of 0-1 matrices."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(shared):
+        return out
+    sides = []
+    for sets in (left, right):
+        values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        hit = shared[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((row[hit][order], at[hit][order], len(sets)))
+    step = 4096
+    for start in range(0, len(shared), step):
+        parts = []
+        for row, at, n in sides:
+            i, j = np.searchsorted(at, (start, start + step))
+            m = np.zeros((n, min(step, len(shared) - start)), np.float32)
+            m[row[i:j], at[i:j] - start] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _forest(percent: int):
+    """For two blocks of a node: links between their components, as many as it takes to join what is similar enough."""
+    fields = arrow_schema("a long, b long")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, own, at = (table.column(c).to_numpy() for c in ("id", "own", "at"))
+        sets = [unpack(p.as_py()) for p in table.column("packed")]
+        first, second = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        i, j = np.flatnonzero(at == first), np.flatnonzero(at == second)
+        found: list[tuple[int, int]] = []
+        if len(i) and len(j):
+            n = np.array([len(s) for s in sets])
+            both = intersections([sets[x] for x in i], [sets[y] for y in j])
+            links = (100 * both >= percent * (n[i][:, None] + n[j] - both)) & (own[i][:, None] != own[j])
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:
+                    root[x] = root.get(up, up)
+                    x = up
+                return x
+
+            for x, y in zip(*np.nonzero(links)):
+                p, q = find(int(own[i[x]])), find(int(own[j[y]]))
+                if p != q:
+                    root[p] = q
+                    found.append((int(ids[i[x]]), int(ids[j[y]])))
+        a, b = zip(*found) if found else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=fields)
+
+    return run
+
+
+def settle(deep: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join all components with similar members in a node. deep: tree, path, id, own (component).
+
+    Each pair of members of different components is compared, by full sets. The largest component's members meet all
+    others but not one another, so rows grow with the node's size times the blocks of the others.
+    """
+    sizes = deep.groupBy("tree", "path", "own").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("tree", "path").agg(F.max(F.struct("c", "own")).alias("main"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    sizes = sizes.select("tree", "path", F.col("main.own").alias("most"), blocks(F.col("n") - F.col("main.c")).alias("few"), blocks(F.col("main.c")).alias("many"))
+    members = deep.select("tree", "path", "id", "own").join(sizes, ["tree", "path"])
+    other = F.col("own") != F.col("most")
+    salt = F.xxhash64(F.lit(9), "id")
+    members = members.withColumn("at", F.when(other, F.pmod(salt, F.col("few"))).otherwise(F.col("few") + F.pmod(salt, F.col("many"))))
+    members = members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(other, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
+    members = cut(members.select("tree", "path", "id", "own", "at", F.least("at", "with").alias("x"), F.greatest("at", "with").alias("y")), "blocks")
+    packed = _packed(members.select("id").distinct(), docs, k, id_col, text_col)
+    links = cut(members.join(packed, "id").groupBy("tree", "path", "x", "y").applyInArrow(_forest(percent), "a long, b long"), "links")
+    discard(packed)
+    return links
+
+
 def _is_stars(edges: DataFrame) -> bool:
     """Whether every u has one v, and no v is a u: each component is its least id with all others linked to it."""
     several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -237,7 +327,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES,
     joined = some.select("id", "d1", "d2").join(own, ["d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     sets = some.join(own.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi").groupBy("id").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     sets = cut(sets, "classes")
-    found = cut(nodes(sets, trees), "nodes")
+    last = last_depth(percent / 100, trees)
+    found = cut(nodes(sets, trees, last), "nodes")
     texts = docs.join(sets.select(F.col("id").alias("_class")), F.col(id_col) == F.col("_class"), "left_semi")
 
     first = cut(plausible(_ordered(found.where((F.col("tree") < FIRST_TREES) & (F.col("depth") == 1)), "id", "pivot"), sets, percent), "pairs")
@@ -245,16 +336,15 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES,
     labels = cut(components(links), "labels")
 
     rest = cut(_labelled(_labelled(found, labels, "id", "own"), labels, "pivot", "theirs"), "labelled")
-    stars = _ordered(rest.where("own <> theirs"), "id", "pivot")
+    deep = (F.col("depth") == last) & (F.col("size") > SMALL)
+    stars = _ordered(rest.where(F.col("own") != F.col("theirs")).where(~deep), "id", "pivot")
     mixed = rest.where(F.col("size") <= SMALL).groupBy("tree", "path").agg(F.collect_list(F.struct("own", "id")).alias("all"), F.min("own").alias("p"), F.max("own").alias("q")).where("p <> q")
     x = F.explode("all").alias("x")
     small = mixed.select("all", x).select(F.col("x"), F.explode("all").alias("y")).where("x.own < y.own").select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
-    # nodes that stay large to the last depth: each member against one member of every other component there
-    deep = rest.where((F.col("depth") == DEPTH) & (F.col("size") > SMALL))
-    heads = deep.groupBy("tree", "path", "own").agg(F.min("id").alias("head")).withColumnRenamed("own", "other")
-    deep = deep.join(heads, ["tree", "path"]).where("own <> other")
-    second = stars.unionByName(_ordered(small, "i", "j")).unionByName(_ordered(deep, "id", "head")).distinct().join(first, ["a", "b"], "left_anti")
+    second = stars.unionByName(_ordered(small, "i", "j")).distinct().join(first, ["a", "b"], "left_anti")
     more = confirm(cut(plausible(second, sets, percent), "pairs"), texts, k, percent, id_col, text_col)
+    # nodes that stay large to the last depth
+    more = more.unionByName(settle(rest.where(deep), texts, k, percent, id_col, text_col))
 
     final = components(links.unionByName(more).unionByName(joined))
     out = _labelled(signed.select("id", "n"), final, "id", "component_id")
@@ -267,6 +357,14 @@ def recall(similarity: float, depth: int, trees: int) -> float:
     return 1 - math.pow(1 - similarity**depth, trees)
 
 
+def last_depth(similarity: float, trees: int) -> int:
+    """The greatest depth at which a pair of the similarity is missed by all trees with probability MISS or less; from 1 to DEPTH."""
+    depth = 1
+    while depth < DEPTH and 1 - recall(similarity, depth + 1, trees) <= MISS:
+        depth += 1
+    return depth
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less all but one document of each component: the one with the least id, in one row."""
     kept = classes(docs, k, percent, id_col=id_col, text_col=text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()

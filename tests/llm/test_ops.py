@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,49 @@ def test_near_dup_is_brute_force(spark):
     assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == sorted({find(i) for i in sets})
 
 
+def test_near_dup_in_one_large_group(spark):
+    rng = random.Random(8)
+    base = prose(rng, 400).split()
+    rows, sets, at = [], [], {}
+    for i in range(1200):
+        w = list(base)
+        for j in rng.sample(range(400), 7):
+            w[j] = prose(rng, 2).replace(" ", "") + str(i)
+        rows.append((i, " ".join(w), "en", "a"))
+        sets.append(sum(1 << at.setdefault(x, len(at)) for x in {tuple(w[j : j + 3]) for j in range(398)}))
+    root = list(range(1200))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    # the vocabulary is cut to what more than one set has, which alone counts for intersections
+    size = [s.bit_count() for s in sets]
+    once, many = 0, 0
+    for s in sets:
+        many |= once & s
+        once |= s
+    base_bits = {b: n for n, b in enumerate(b for b in range(many.bit_length()) if many >> b & 1)}
+    short = [sum(1 << n for b, n in base_bits.items() if s >> b & 1) for s in sets]
+    for a in range(1200):
+        for b in range(a + 1, 1200):
+            both = (short[a] & short[b]).bit_count()
+            if 100 * both >= 85 * (size[a] + size[b] - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert 1 < len({find(i) for i in range(1200)}) < 1200
+    got = near_dup.classes(docs(spark, rows), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(1200)}
+
+
+def test_intersections():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (1, 50, 6000, 7000)]
+    got = near_dup.intersections(sets[:3], sets[1:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets[:3]]
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 60), (60, 50), (70, 70)], "a long, b long")
     assert {(r.id, r.label) for r in near_dup.components(chain).collect()} == {(i, 0) for i in range(31)} | {(50, 50), (60, 50)}
