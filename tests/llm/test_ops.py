@@ -125,16 +125,17 @@ def test_near_dup_is_brute_force(spark):
     assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == sorted({find(i) for i in sets})
 
 
-def test_near_dup_in_one_large_group(spark):
+@pytest.mark.parametrize(("k", "percent", "changed"), [(3, 85, 7), (5, 80, 6)])
+def test_near_dup_in_one_large_group(spark, k, percent, changed):
     rng = random.Random(8)
     base = prose(rng, 400).split()
     rows, sets, at = [], [], {}
     for i in range(1200):
         w = list(base)
-        for j in rng.sample(range(400), 7):
+        for j in rng.sample(range(400), changed):
             w[j] = prose(rng, 2).replace(" ", "") + str(i)
         rows.append((i, " ".join(w), "en", "a"))
-        sets.append(sum(1 << at.setdefault(x, len(at)) for x in {tuple(w[j : j + 3]) for j in range(398)}))
+        sets.append(sum(1 << at.setdefault(x, len(at)) for x in {tuple(w[j : j + k]) for j in range(401 - k)}))
     root = list(range(1200))
 
     def find(x):
@@ -153,11 +154,11 @@ def test_near_dup_in_one_large_group(spark):
     for a in range(1200):
         for b in range(a + 1, 1200):
             both = (short[a] & short[b]).bit_count()
-            if 100 * both >= 85 * (size[a] + size[b] - both):
+            if 100 * both >= percent * (size[a] + size[b] - both):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert 1 < len({find(i) for i in range(1200)}) < 1200
-    got = near_dup.classes(docs(spark, rows), 3, 85).collect()
+    got = near_dup.classes(docs(spark, rows), k, percent).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(1200)}
 
 
