@@ -1,7 +1,8 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
-A document is its set of word shingles. Equal sets are one class from the start, found by a 128-bit digest. Each
-class has a row of minhash values, one for each of COORDINATES hash functions. In each of a number of independent
+A document is its set of word shingles. Equal sets are one class from the start, found by a 128-bit digest and
+numbered; all that follows, up to the last step, is about classes, and copies are never expanded. Each class has a row
+of minhash values, one for each of COORDINATES hash functions. In each of a number of independent
 trees a node branches on one coordinate, which a hash of the node's path selects: members with the same value at
 that coordinate go to the same child. Nodes of at most SMALL members are compared exhaustively; larger nodes link
 their members to the node's pivot and branch again, down to the last depth. Two sets of similarity s meet in a node at
@@ -18,7 +19,9 @@ small-star steps, each one or two shuffles of the link table; no link or compone
 
 Defined results: white space is ASCII's; A to Z are lower-cased; a text of fewer words than a shingle has is one
 shingle, whole; null texts and texts without words have an empty set and link with nothing. Rows with equal ids are
-one document. A null id is linked with nothing: component_id null, kept true. Only the two named columns are read.
+one document, whose different texts all link: their classes are one component. A null id is linked with nothing:
+component_id null, kept true. Very long texts are hashed whole, some shingles at a time. An empty table gives an empty
+table. Only the two named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, discard
+from .common import arrow_schema, cut, discard, free_name
 
 COORDINATES, SMALL, TREES, DEPTH = 64, 24, 12, 10
 #: A pair at the threshold may be missed by all trees with this probability.
@@ -87,6 +90,11 @@ def minhashes(s: np.ndarray, add: np.ndarray, times: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32).view(np.int32)
 
 
+def digest(s: np.ndarray) -> np.ndarray:
+    """128 bits of a set, as two numbers."""
+    return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+
+
 def pack(s: np.ndarray) -> bytes:
     """The lowest WIDTH bytes of each hash."""
     return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
@@ -111,7 +119,7 @@ def sign(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1):
                 s = shingles(text.as_py(), k, cache)
                 n.append(len(s))
-                digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
+                digests.append(digest(s))
                 if len(s):
                     sigs.append(minhashes(s, add, times))
                 low.append((sigs[-1] & 0xFF).astype(np.uint8).tobytes() if len(s) else b"")
@@ -184,23 +192,28 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _packed(involved: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, packed (the full set) of the ids involved."""
-    fields = arrow_schema("id long, packed binary")
+def _packed(involved: DataFrame, sets: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """id, packed (the full set) of the classes involved: from the texts of their least documents whose digest is the class's."""
+    schema = "doc long, d1 long, d2 long, packed binary"
+    fields = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(shingles(t.as_py(), k, cache)) for t in batch.column(1)], pa.binary())], schema=fields)
+            found = [shingles(t.as_py(), k, cache) for t in batch.column(1)]
+            d = np.array([digest(s) for s in found], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(map(pack, found), pa.binary())], schema=fields)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi")
-    return cut(texts.mapInArrow(run, "id long, packed binary").dropDuplicates(["id"]), "sets")
+    want = cut(sets.join(involved, "id", "left_semi").select("id", "rep", "d1", "d2"), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(want.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
+    both = texts.mapInArrow(run, schema).join(want, ["d1", "d2"]).where("doc = rep")
+    return cut(both.dropDuplicates(["d1", "d2"]).select("id", "packed"), "sets")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. docs: a row for each class."""
+def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    packed = _packed(involved, docs, k, id_col, text_col)
+    packed = _packed(involved, sets, docs, k, id_col, text_col)
     left = packed.select(F.col("id").alias("a"), F.col("packed").alias("x"))
     right = packed.select(F.col("id").alias("b"), F.col("packed").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
@@ -267,7 +280,7 @@ def _forest(percent: int):
     return run
 
 
-def settle(deep: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def settle(deep: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) that join all components with similar members in a node. deep: tree, path, id, own (component).
 
     Each pair of members of different components is compared, by full sets. The largest component's members meet all
@@ -283,7 +296,7 @@ def settle(deep: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str,
     members = members.withColumn("at", F.when(other, F.pmod(salt, F.col("few"))).otherwise(F.col("few") + F.pmod(salt, F.col("many"))))
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(other, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
     members = cut(members.select("tree", "path", "id", "own", "at", F.least("at", "with").alias("x"), F.greatest("at", "with").alias("y")), "blocks")
-    packed = _packed(members.select("id").distinct(), docs, k, id_col, text_col)
+    packed = _packed(members.select("id").distinct(), sets, docs, k, id_col, text_col)
     links = cut(members.join(packed, "id").groupBy("tree", "path", "x", "y").applyInArrow(_forest(percent), "a long, b long"), "links")
     discard(packed)
     return links
@@ -321,18 +334,20 @@ def _ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (least id reachable), kept (it is its own component's)."""
     signed = cut(sign(docs, k, id_col, text_col), "signed")
-    some = signed.where("id is not null and n > 0")
-    own = some.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    # rows with equal ids and different sets join their classes
-    joined = some.select("id", "d1", "d2").join(own, ["d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    sets = some.join(own.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi").groupBy("id").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
-    sets = cut(sets, "classes")
+    some = F.col("id").isNotNull() & (F.col("n") > 0)
+    # a class has its number once it is written; equal sets have equal minhash values, whichever row gives them
+    sets = signed.where(some).groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    sets = cut(sets.withColumn("id", F.monotonically_increasing_id()), "classes")
+    member = signed.where(some).select(F.col("id").alias("doc"), "n", "d1", "d2").join(sets.select("id", "rep", "d1", "d2"), ["d1", "d2"])
+    member = cut(member.select("doc", "n", "id", "rep"), "members")
+    # a document with several sets joins their classes
+    several = member.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
+    joined = cut(member.join(several, "doc").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "joined")
     last = last_depth(percent / 100, trees)
     found = cut(nodes(sets, trees, last), "nodes")
-    texts = docs.join(sets.select(F.col("id").alias("_class")), F.col(id_col) == F.col("_class"), "left_semi")
 
     first = cut(plausible(_ordered(found.where((F.col("tree") < FIRST_TREES) & (F.col("depth") == 1)), "id", "pivot"), sets, percent), "pairs")
-    links = confirm(first, texts, k, percent, id_col, text_col)
+    links = confirm(first, sets, docs, k, percent, id_col, text_col)
     labels = cut(components(links), "labels")
 
     rest = cut(_labelled(_labelled(found, labels, "id", "own"), labels, "pivot", "theirs"), "labelled")
@@ -342,14 +357,21 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES,
     x = F.explode("all").alias("x")
     small = mixed.select("all", x).select(F.col("x"), F.explode("all").alias("y")).where("x.own < y.own").select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
     second = stars.unionByName(_ordered(small, "i", "j")).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirm(cut(plausible(second, sets, percent), "pairs"), texts, k, percent, id_col, text_col)
+    more = confirm(cut(plausible(second, sets, percent), "pairs"), sets, docs, k, percent, id_col, text_col)
     # nodes that stay large to the last depth
-    more = more.unionByName(settle(rest.where(deep), texts, k, percent, id_col, text_col))
+    more = more.unionByName(settle(rest.where(deep), sets, docs, k, percent, id_col, text_col))
 
-    final = components(links.unionByName(more).unionByName(joined))
-    out = _labelled(signed.select("id", "n"), final, "id", "component_id")
-    kept = F.col("id").isNull() | (F.col("id") == F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    # from classes to documents: a component's least document, or the class's own where it is linked with none
+    final = cut(components(links.unionByName(more).unionByName(joined)), "components")
+    least = final.join(sets.select("id", "rep"), "id").groupBy("label").agg(F.min("rep").alias("least"))
+    linked = final.join(least, "label").select("id", "least")
+    with_words = member.join(linked, "id", "left").select("doc", "n", F.coalesce("least", "rep").alias("component_id"))
+    # a row without words is its document's: linked as its other rows are, if it has any
+    bare = signed.where(~some).select(F.col("id").alias("doc"), "n")
+    theirs = with_words.join(bare.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.min("component_id").alias("component_id"))
+    out = with_words.unionByName(bare.join(theirs, "doc", "left").select("doc", "n", F.coalesce("component_id", "doc").alias("component_id")))
+    kept = F.col("doc").isNull() | (F.col("doc") == F.col("component_id"))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def recall(similarity: float, depth: int, trees: int) -> float:
@@ -366,7 +388,10 @@ def last_depth(similarity: float, trees: int) -> int:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs less all but one document of each component: the one with the least id, in one row."""
-    kept = classes(docs, k, percent, id_col=id_col, text_col=text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    """docs less all but one document of each component: the one with the least id, in one row (its longest text, ties by hash)."""
+    keep, turn = free_name(docs.columns, "_kept"), free_name(docs.columns, "_turn")
+    kept = classes(docs, k, percent, id_col=id_col, text_col=text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(keep)).distinct()
+    named = docs.join(kept, F.col(id_col).cast("long") == F.col(keep), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(F.desc_nulls_last(F.length(text_col)), F.xxhash64(text_col))
+    named = named.withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn)
     return named.unionByName(docs.where(F.col(id_col).isNull()))
