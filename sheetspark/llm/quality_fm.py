@@ -4,12 +4,15 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^
 rank in time linear in the features, by the sum-of-squares identity. Features of a text: its words and word shapes
 hashed into a fixed number of slots (each kind with norm 1), structure statistics and text sizes in fixed bins.
 
-The fit uses a bounded sample of labelled rows, SAMPLE at most: those with the least hash of the id. Every row is
-scored. Fitting is deterministic.
+The fit uses a bounded sample of labelled rows, SAMPLE at most: those with the least hash of the id. An id may have
+several texts; of the sample's distinct (id, label, features) those with the least hashes are fitted, 2 * SAMPLE at
+most. Both bounds go by hashes of the rows, not by their order: fitting is deterministic. Every row is scored, and
+whole words and whole texts go into its features.
 
 Defined results: null and empty texts get the score of a text without words; labels that are null are left out,
 several labels of one id all count; without labels of both kinds the score is the share of label 1 (1 if there is
-none at all); repeated rows each get a row; only the named columns are read, so other columns cannot clash.
+none at all); repeated rows each get a row, and equal texts equal scores; very long words are hashed whole; an empty
+table gives an empty table; only the named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -28,21 +31,31 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, free_name, held_out
 
-SAMPLE, SLOTS, RANK = 4_000, 1 << 16, 8
+SAMPLE, SLOTS, RANK = 8_000, 1 << 16, 8
+#: Longer words are not remembered, so that a cache of words stays small.
+REMEMBER = 64
 THRESHOLD = 0.7
 _SHAPE = re.compile(r"(.)\1+", re.S)
 
 
-@lru_cache(maxsize=200_000)
-def _slot(kind: str, word: str) -> int:
+def _hashed(kind: str, word: str) -> int:
     return zlib.crc32(f"{kind}{word}".encode()) % SLOTS
 
 
-@lru_cache(maxsize=200_000)
-def _word(word: str) -> tuple[int, int]:
+_slot = lru_cache(maxsize=10_000)(_hashed)  # of bins, which are few
+
+
+def _of_word(word: str) -> tuple[int, int]:
     """Slots of a word and of its shape: letters by case, digits, other characters themselves; runs once."""
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:200])
-    return _slot("w", word[:200]), _slot("s", _SHAPE.sub(r"\1", shape)[:40])
+    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    return _hashed("w", word), _hashed("s", _SHAPE.sub(r"\1", shape))
+
+
+_of_short = lru_cache(maxsize=200_000)(_of_word)
+
+
+def _word(word: str) -> tuple[int, int]:
+    return _of_short(word) if len(word) <= REMEMBER else _of_word(word)
 
 
 def _bins(name: str, value: float, steps: int, top: float) -> int:
@@ -158,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     joined = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # sample rows at most
     rows = joined.select("_y", F.col("_id").cast("string").alias("_key"), "_text").mapInArrow(run, schema)
-    rows = sorted(rows.limit(2 * sample).collect(), key=lambda r: (zlib.crc32(r.id.encode()), r.id, r.y))
+    order = F.xxhash64("id", "y", "slots", "weights")
+    rows = rows.distinct().orderBy(order, "id", "y").limit(2 * sample).collect()  # the top of each task, merged
+    rows.sort(key=lambda r: (zlib.crc32(r.id.encode()), r.id, r.y, r.slots, r.weights))
     return fit([(np.frombuffer(r.slots, np.int32), np.frombuffer(r.weights, np.float32)) for r in rows], np.array([r.y for r in rows], float))
 
 
