@@ -8,8 +8,9 @@ Profiles are counted over all training rows: tasks count n-grams, Spark sums the
 n-grams a language comes to the driver. Counts are exact.
 
 Defined results: null text or text without a letter: `und`, score 0; so is every text if nothing was learned;
-rows with null lang are not learned from; repeated rows each count and each get a row; only the named columns are
-read, so other columns cannot clash.
+rows with null lang are not learned from; repeated rows each count and each get a row; n-grams of equal counts rank by
+key, languages of equal distance by name; very long texts and large alphabets take memory in proportion to the text;
+an empty table gives an empty table; only the named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import arrow_schema, held_out
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
+#: Counters for the n-grams of one text, 8 MB of them; where there could be more, n-grams are sorted.
+COUNTERS = 1 << 20
 
 
 def letters(word: str) -> str:
@@ -51,17 +54,21 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     k = len(chars)
     two, middle = at[:-1] * k + at[1:], at[1:-1] > 0
     three = (two[:-1] * k + at[2:])[middle]
-    one, pairs = np.bincount(at, minlength=k), np.bincount(two, minlength=k * k)
+    one = np.bincount(at, minlength=k)
     one[0] = 0
-    if k <= 96:
-        triples = np.bincount(three, minlength=1)
-        c = np.flatnonzero(triples)
-        n = triples[c]
-    else:
-        c, n = np.unique(three, return_counts=True)
-    a, b = np.flatnonzero(one), np.flatnonzero(pairs)
+    a = np.flatnonzero(one)
+    (b, pairs), (c, triples) = _counted(two, k * k), _counted(three, k * k * k)
     keys = np.concatenate([chars[a], chars[b // k] << 21 | chars[b % k], chars[c // (k * k)] << 42 | chars[c // k % k] << 21 | chars[c % k]])
-    return keys, np.concatenate([one[a], pairs[b], n])
+    return keys, np.concatenate([one[a], pairs, triples])
+
+
+def _counted(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values below span and their counts: by counters while those are few, else by sorting, so memory goes with the text."""
+    if span > COUNTERS:
+        return np.unique(values, return_counts=True)
+    n = np.bincount(values, minlength=1)
+    found = np.flatnonzero(n)
+    return found, n[found]
 
 
 def gram_of(key: int) -> str:
