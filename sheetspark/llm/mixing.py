@@ -3,15 +3,15 @@
 Each source's words, document after document, are packed into blocks of a fixed number of words. Output shards
 draw how many of their slots each source gets, multinomially by target; the draws are then settled, surplus slots
 going to the sources that fell short, so that a source's slots add up to its target. Slot k of a source reads block
-perm(k mod blocks), with another pseudorandom permutation of the block indices for each pass, and slots and blocks
+perm(k mod blocks), with another keyed Feistel permutation of the block indices for each pass, and slots and blocks
 are joined by index. The last slot of a source reads only the words that its target still lacks.
 
 Documents of a source are laid out by salt, a hash of the document: sums for each salt, a running sum over salts,
 then a running sum inside each salt. So no source has to fit one task, whatever its share.
 
 Defined results: null text has no words; null source is a source of its own, the last; sources without words have
-target 0; documents without words are returned with taken 0; repeated rows are documents of their own; an empty
-table gives an empty table; columns other than the three named are kept only by `mix_documents`. Every choice is a
+target 0; documents without words are returned with taken 0; repeated rows are documents of their own; a very long
+text spans many blocks, each taken or not; an empty table gives an empty table; columns other than the three named are kept only by `mix_documents`. Every choice is a
 hash of the rows and the seed: reruns agree.
 """
 
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, free_name, n_words
 
-#: Multipliers of the index permutations; one that does not divide the number of blocks is chosen by hash.
-PRIMES = (999983, 1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117)
-SALTS, BUCKETS = 256, 1024
+#: Rounds of the index permutation, and the most times that an index outside the blocks is permuted again.
+ROUNDS, WALKS = 6, 16
+#: Parts that a source's documents are laid out in; a task orders one part.
+SALTS, BUCKETS = 4096, 1024
+#: Shards in one part of the running sum over shards.
+SPAN = 4096
 WEIGHTS = (1, 2, 3)
 
 
@@ -55,13 +58,30 @@ def _targets(sizes: DataFrame) -> DataFrame:
 
 
 def _index(slot, key, blocks, seed):
-    """Block of a source's slot: an affine permutation of the indices for each source and pass."""
+    """Block of a source's slot: a pseudorandom permutation of the indices for each source and pass.
+
+    A Feistel network over pairs (x, y) of a grid with a columns and b rows that just holds the blocks; each round adds
+    a keyed hash of one half to the other. An index that falls outside the blocks is permuted again until it is inside
+    (cycle walking). The grid has less than a places outside, so WALKS is enough for certain up to 256 blocks; beyond,
+    a walk that long has a chance below 1e-18.
+    """
     turn = F.floor(slot / blocks)
-    at = slot - turn * blocks
-    primes = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.pmod(blocks, p) != 0)
-    chosen = F.get(primes, F.pmod(F.xxhash64(F.lit(seed), key, turn), F.size(primes)).cast("int"))
-    shift = F.pmod(F.xxhash64(F.lit(seed + 1), key, turn), blocks)
-    return F.pmod(at * chosen + shift, blocks)
+    a = F.ceil(F.sqrt(blocks)).cast("long")
+    b = F.ceil(blocks / a).cast("long")
+    keyed = F.xxhash64(F.lit(seed), key, turn)
+
+    def mixed(v, j, size):
+        return F.pmod(F.xxhash64(keyed, j, v), size)
+
+    def permuted(i):
+        half = lambda s, j: F.struct(s["y"].alias("x"), F.pmod(s["x"] + mixed(s["y"], j, F.when(j % 2 == 1, a).otherwise(b)), F.when(j % 2 == 1, a).otherwise(b)).alias("y"))
+        # after an even number of rounds the halves are in their places again
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.pmod(i, a).alias("x"), F.floor(i / a).alias("y")), half)
+        return end["y"] * a + end["x"]
+
+    # the loop's own variable keeps each pass from being written out again for the test
+    walk = lambda i, n: F.when((n > 0) & (i < blocks), i).otherwise(permuted(i))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), slot - turn * blocks, walk)
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, shard_slots: int = 4096, seed: int = 17) -> Mix:
@@ -113,14 +133,20 @@ def _slots(spark, sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     bands = sources.where("n_slots > 0").select("key", "n_slots", lo.alias("lo"), F.when(F.col("upto") == total, 1.0).otherwise(hi).alias("hi"))
     bands = bands.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") * BUCKETS), F.least(F.lit(BUCKETS - 1), F.floor(F.col("hi") * BUCKETS)).cast("long"))))
     drawn = draws.join(bands, "bucket").where("u >= lo and u < hi").groupBy("shard", "key", "n_slots").agg(F.count(F.lit(1)).alias("n"))
-    so_far = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = cut(drawn.withColumn("from", F.coalesce(F.sum("n").over(so_far), F.lit(0))), "mix-draws")
+    # a running sum over shards: over spans of them first, then inside each span, so no task has all shards of a source
+    drawn = cut(drawn.withColumn("span", F.floor(F.col("shard") / SPAN)), "mix-shards")
+    spans = drawn.groupBy("key", "span").agg(F.sum("n").alias("in_span"))
+    before = F.sum("in_span").over(Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("key", "span", F.coalesce(before, F.lit(0)).alias("base"))
+    inside = Window.partitionBy("key", "span").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("from", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(spans, ["key", "span"])
+    drawn = cut(drawn.withColumn("from", F.col("from") + F.col("base")).drop("span", "base"), "mix-draws")
     own = drawn.withColumn("to", F.least(F.col("from") + F.col("n"), "n_slots")).where(F.col("from") < F.col("to"))
     own = own.select("shard", "key", F.explode(F.sequence("from", F.col("to") - 1)).alias("slot"))
     surplus = drawn.select("shard", "key", (F.col("from") + F.col("n") - F.greatest("from", "n_slots")).alias("more")).where("more > 0")
     lack = sources.where("n_slots > 0").select("key", "n_slots").join(drawn.groupBy("key").agg(F.sum("n").alias("had")), "key", "left")
     lack = lack.select("key", F.coalesce("had", F.lit(0)).alias("had"), "n_slots").where("had < n_slots")
-    upto = lambda df, n, *order: df.withColumn("g0", F.sum(n).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - n)  # noqa: E731  a row for each source, or for the last shards
+    upto = lambda df, n, *order: df.withColumn("g0", F.sum(n).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - n)  # noqa: E731  a row for each source, or for the last shards: surplus grows with the root of a source's slots
     given = upto(surplus, F.col("more"), "shard", "key").select("shard", F.explode(F.sequence("g0", F.col("g0") + F.col("more") - 1)).alias("g"))
     wanted = upto(lack, F.col("n_slots") - F.col("had"), "key").select("key", F.posexplode(F.sequence("had", F.col("n_slots") - 1)).alias("i", "slot"), "g0")
     settled = given.join(wanted.select("key", "slot", (F.col("g0") + F.col("i")).alias("g")), "g").select("shard", "key", "slot")
