@@ -6,8 +6,8 @@ is boilerplate: it stays in the document with the least id that has it and goes
 
 Defined results: lines are the \\n-split parts with a character other than ASCII white space, compared exactly;
 others never go. Null sites count as no site. Null texts stay null, empty ones empty; a null id counts as the
-greatest. Repeated rows of the least id all keep their line. An empty table gives an empty table. Column names of
-the input cannot clash with those used here.
+greatest. Repeated rows of the least id all keep their line. Very long texts and lines are split and hashed whole. An
+empty table gives an empty table. Column names of the input cannot clash with those used here.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import cut, free_name
 
 MIN_SITES, LG_K = 10, 12
+#: Parts of a line's rows in a join with lines by hash: no task meets all rows of a very common line.
+SALTS = 32
 #: Estimates within so many standard errors of the threshold are counted exactly.
 NEAR = 6 * 1.04 / 2 ** (LG_K / 2)
 
@@ -26,6 +28,13 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
+def _joined(lines: DataFrame, some: DataFrame, how: str = "inner") -> DataFrame:
+    """lines with the rows of some by line hash; some is repeated for each salt, lines are many times as many."""
+    salt = F.pmod(F.xxhash64("id", "site"), F.lit(SALTS))
+    spread = some.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return lines.withColumn("salt", salt).join(spread, ["a", "b", "salt"], how).drop("salt")
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """a, b (line hash), keeper of each line on min_sites distinct sites or more; lines: a, b, site, id."""
     spread = lines.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("id").alias("keeper"))
@@ -33,7 +42,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     spread = cut(spread.where(F.col("sites") >= min_sites - margin), "line-spread")
     sure = spread.where(F.col("sites") > min_sites + margin).select("a", "b", "keeper")
     near = spread.where(F.col("sites") <= min_sites + margin)
-    exact = lines.join(near.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "site").where("site is not null").distinct()
+    exact = _joined(lines.where("site is not null"), near.select("a", "b"), "left_semi").select("a", "b", "site").distinct()
     exact = exact.groupBy("a", "b").count().where(F.col("count") >= min_sites).select("a", "b")
     return sure.unionByName(near.join(exact, ["a", "b"]).select("a", "b", "keeper"))
 
@@ -44,7 +53,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sit
     lines = parts.select("id", "site", "print", "at", F.when(F.col("line").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("line")).alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
     lines = cut(lines.where("a is not null"), "lines")
     common = boilerplate(lines, min_sites)
-    hit = lines.join(common, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    hit = _joined(lines, common).where(~F.col("id").eqNullSafe(F.col("keeper")))
     return hit.groupBy("id", "print").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
@@ -71,7 +80,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col(id_col), F.greatest(F.col("_n"), F.lit(0)).alias("n_lines"), "n_removed", F.length(text_col).cast("long").alias("clean_chars"), F.sha2(F.col(text_col), 256).alias("clean_sha256"))
 
 
-REPORT_SQL = f"""
+def report_sql(min_sites: int) -> str:
+    """line_report(docs, min_sites=min_sites) in SQL."""
+    return f"""
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS pos
@@ -79,7 +90,7 @@ WITH l AS (
 ), w AS (
   SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), b AS (
-  SELECT line, min(doc_id) AS keeper FROM w GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
+  SELECT line, min(doc_id) AS keeper FROM w GROUP BY line HAVING count(DISTINCT source) >= {min_sites}
 ), m AS (
   SELECT l.doc_id, l.line, l.pos, regexp_matches(l.line, '[^\\x20\\x09-\\x0D]') AS has_word, b.line IS NOT NULL AND b.keeper <> l.doc_id AS gone
   FROM l LEFT JOIN b ON l.line = b.line
