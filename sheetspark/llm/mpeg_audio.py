@@ -1,13 +1,15 @@
 """Media columns: MPEG audio streams, written and parsed frame by frame.
 
 The writer puts a payload into the ancillary data of silent MPEG-1 Layer III frames (mono, 32 kHz, CRC-protected)
-after an ID3v2 tag and a frame with a variable-bitrate table. The parser reads any MPEG audio stream: it skips or
-reads ID3 tags, finds frame headers again after damage, checks each protected frame's CRC, reads Xing, Info and
-VBRI tables, and keeps exact durations (samples over rate) and the byte offset of every frame.
-
-Defined results: null and empty texts are a payload of 64 zero bytes; equal texts give equal bytes; the columns
-of the input other than the two named are dropped, so names cannot clash; an empty table gives an empty table.
-A stream without a frame parses to no frames and duration 0.
+after an ID3v2 tag and a frame with a variable-bitrate table. The parser reads any MPEG audio stream (versions 1, 2
+and 2.5, Layers I to III, frames of a named bitrate): it reads ID3 tags (1, and 2.2 to 2.4 with extended headers,
+footers and unsynchronisation), finds frame headers again after damage, checks each protected frame's CRC, reads Xing,
+Info and VBRI tables with their seek entries, and keeps exact durations (samples over rate) and the byte offset of
+every frame. A frame with a wrong CRC is no place to seek to; its samples count where the next frame follows it.
+
+Defined results: null and empty texts are a payload of 64 zero bytes; equal texts give equal bytes; very long texts
+give streams as long, held in memory one at a time; the columns of the input other than the two named are dropped, so
+names cannot clash; an empty table gives an empty table. A stream without a frame parses to no frames and duration 0.
 """
 
 from __future__ import annotations
@@ -71,15 +73,62 @@ class Header:
     mono: bool
     size: int
     samples: int
+    bound: int = 32  # the subband from which on both channels of joint stereo share their allocation
 
     @property
     def side(self) -> int:
-        """Bytes of side information that the CRC covers in Layer III; 0 in the others."""
+        """Bytes of side information in Layer III; 0 in the others."""
         if self.layer != 3:
             return 0
         return (17 if self.mono else 32) if self.first else (9 if self.mono else 17)
 
 
+@lru_cache(maxsize=256)
+def allocation_bits(h: Header) -> tuple[int, ...]:
+    """Layer II: bits of the allocation of each subband."""
+    # fixed values: (subbands with so many bits, ...) of the standard's tables by rate and bits a channel
+    if not h.first:
+        runs = ((4, 4), (7, 3), (19, 2))
+    else:
+        each = h.kbits if h.mono else h.kbits // 2
+        if each <= 48:
+            runs = ((2, 4), (10, 3)) if h.hz == 32000 else ((2, 4), (6, 3))
+        elif h.hz == 48000 or each <= 80:
+            runs = ((11, 4), (12, 3), (4, 2))
+        else:
+            runs = ((11, 4), (12, 3), (7, 2))
+    return tuple(bits for n, bits in runs for _ in range(n))
+
+
+def covered_bits(body: bytes, h: Header) -> int:
+    """Bits after the CRC that it covers: side information in Layer III, allocation in Layer I, allocation and scale selection in Layer II."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 2 * h.bound + 32 - h.bound)
+    widths = allocation_bits(h)
+    bits = int.from_bytes(body[:32], "big")
+    at, used = 0, 0
+    for sub, width in enumerate(widths):
+        own = channels if sub < h.bound else 1
+        for _ in range(own):
+            at += width
+            if bits >> (256 - at) & ((1 << width) - 1):
+                used += channels // own  # a shared allocation selects scales for both channels
+    return at + 2 * used
+
+
+def frame_crc(head: bytes, body: bytes, h: Header) -> int:
+    """CRC of the header's last two bytes and of the bits that are covered after the CRC."""
+    n = covered_bits(body, h)
+    crc = crc16(head[2:4] + body[: n // 8])
+    rest = body[n // 8] if n % 8 and n // 8 < len(body) else 0
+    for i in range(n % 8):
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ rest >> (7 - i)) & 1 else 0)) & 0xFFFF
+    return crc
+
+
 @lru_cache(maxsize=4096)
 def header(four: bytes) -> Header | None:
     """The header in four bytes; None unless it names a frame of known size."""
@@ -91,7 +140,8 @@ def header(four: bytes) -> Header | None:
     rate, hertz, pad = KBITS[first, layer][kbits], HZ[version][hz], word >> 9 & 1
     samples = SAMPLES[first, layer]
     size = (12 * rate * 1000 // hertz + pad) * 4 if layer == 1 else samples // 8 * rate * 1000 // hertz + pad
-    return Header(first, layer, not word >> 16 & 1, rate, hertz, word >> 6 & 3 == 3, size, samples)
+    bound = 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32
+    return Header(first, layer, not word >> 16 & 1, rate, hertz, word >> 6 & 3 == 3, size, samples, bound)
 
 
 @dataclass
@@ -120,22 +170,62 @@ def _to_synchsafe(n: int) -> bytes:
     return bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
 
 
+#: Names of version 2.2 by their later names.
+SHORT_NAMES = {"TT2": "TIT2", "TP1": "TPE1", "TAL": "TALB", "TYE": "TYER", "TRK": "TRCK", "TCO": "TCON", "TXX": "TXXX"}
+
+
+def _frame_body(body: bytes, major: int, flags: int) -> bytes | None:
+    """A tag frame's content without what its flags add; None where it is encrypted or damaged."""
+    if major < 4:
+        packed, secret, grouped, length, split = flags & 0x80, flags & 0x40, flags & 0x20, flags & 0x80, 0
+    else:
+        packed, secret, grouped, length, split = flags & 0x08, flags & 0x04, flags & 0x40, flags & 0x01, flags & 0x02
+    if secret:
+        return None
+    body = body[4 if length else 0 :] if major < 4 else body[bool(grouped) :]
+    body = body[bool(grouped) :] if major < 4 else body[4 if length else 0 :]
+    if split:
+        body = body.replace(b"\xff\0", b"\xff")
+    try:
+        return zlib.decompress(body) if packed else body
+    except zlib.error:
+        return None
+
+
 def _id3v2(data: bytes) -> tuple[int, dict[str, str]]:
     """Length of the tag at the start and its text frames."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0, {}
-    major, end, at, tags = data[3], min(10 + _synchsafe(data[6:10]), len(data)), 10, {}
-    while at + 10 <= end and data[at]:
-        raw = data[at + 4 : at + 8]
-        size = _synchsafe(raw) if major >= 4 else int.from_bytes(raw, "big")
-        name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : at + 10 + size]
-        if name[0] == "T" and body:
+    major, marks, size = data[3], data[5], _synchsafe(data[6:10])
+    whole = 10 + size + (10 if major >= 4 and marks & 0x10 else 0)
+    tag, at, tags = data[10 : 10 + size], 0, {}
+    if marks & 0x80 and major < 4:
+        tag = tag.replace(b"\xff\0", b"\xff")
+    if marks & 0x40 and major >= 3 and len(tag) >= 4:
+        at = _synchsafe(tag[:4]) if major >= 4 else 4 + int.from_bytes(tag[:4], "big")
+    wide = 3 if major <= 2 else 4
+    head = 6 if major <= 2 else 10
+    while at + head <= len(tag) and tag[at]:
+        raw = tag[at + wide : at + 2 * wide]
+        n = _synchsafe(raw) if major >= 4 else int.from_bytes(raw, "big")
+        name, body = tag[at : at + wide].decode("latin-1"), tag[at + head : at + head + n]
+        if name[0] == "T" and (body := _frame_body(body, major, tag[at + 9] | (0x02 if major >= 4 and marks & 0x80 else 0)) if major >= 3 else body):
+            name = SHORT_NAMES.get(name, name)
             codec = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8")
             text = body[1:].decode(codec, "replace").rstrip("\0")
             key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
             tags[key] = value
-        at += 10 + size
-    return 10 + _synchsafe(data[6:10]), tags
+        at += head + n
+    return whole, tags
+
+
+def _id3v1(tag: bytes) -> dict[str, str]:
+    """Fields of the 128 bytes at the end, by their names in later versions."""
+    text = lambda a, b: tag[a:b].partition(b"\0")[0].decode("latin-1").rstrip()
+    found = {"TIT2": text(3, 33), "TPE1": text(33, 63), "TALB": text(63, 93), "TYER": text(93, 97), "COMM": text(97, 127), "TCON": f"({tag[127]})" if tag[127] != 255 else ""}
+    if not tag[125] and tag[126]:
+        found["TRCK"] = str(tag[126])
+    return {k: v for k, v in found.items() if v}
 
 
 def _vbr_table(frame: bytes, h: Header) -> dict:
@@ -149,9 +239,15 @@ def _vbr_table(frame: bytes, h: Header) -> dict:
                     p += 4
             if flags & 4:
                 found["toc"] = list(frame[p : p + 100])
+                p += 100
+            if flags & 8:
+                found["quality"] = int.from_bytes(frame[p : p + 4], "big")
             return found
     if frame[36:40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+        number = lambda a, b: int.from_bytes(frame[a:b], "big")
+        entries, scale, width = number(54, 56), number(56, 58), number(58, 60)
+        steps = [number(62 + i * width, 62 + (i + 1) * width) * scale for i in range(entries) if 62 + (i + 1) * width <= len(frame)]
+        return {"kind": "VBRI", "bytes": number(46, 50), "frames": number(50, 54), "frames_per_entry": number(60, 62), "toc": steps}
     return {}
 
 
@@ -161,7 +257,7 @@ def parse(data: bytes) -> Stream:
     end = len(data)
     if end >= 128 and data[-128:-125] == b"TAG":
         end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").rstrip("\0 "))
+        out.tags = _id3v1(data[end:]) | out.tags
     first, rate, lost = True, None, False
     while at + HEAD <= end:
         h = header(data[at : at + HEAD])
@@ -177,14 +273,18 @@ def parse(data: bytes) -> Stream:
                 break
             continue
         lost = False
-        if h.protected and h.side:
+        if h.protected:
             out.checked += 1
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
-            if crc16(covered) != int.from_bytes(data[at + 4 : at + 6], "big"):
+            if frame_crc(data[at : at + 4], data[at + 6 : at + h.size], h) != int.from_bytes(data[at + 4 : at + 6], "big"):
                 out.bad_crc += 1
-                out.resyncs += 1
-                lost = True
-                at += 1
+                then = at + h.size
+                if not first and (then == end or header(data[then : then + HEAD]) is not None):
+                    out.samples += h.samples
+                    at = then
+                else:
+                    out.resyncs += 1
+                    lost = True
+                    at += 1
                 continue
         if first:
             first, out.hz = False, h.hz
