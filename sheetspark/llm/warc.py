@@ -13,8 +13,8 @@ Paths are folders or files of any file system that pyarrow or a plain local path
 
 Defined results of `archive_pages`: null html is an empty payload; a null url is written as an empty target; equal
 rows are records of their own; every row that carries the largest page_id of a payload is a response; rows with a
-null page_id revisit it, and are responses where no row of that payload has an id. Other columns are not read. An
-empty table gives an empty archive.
+null page_id revisit it, and are responses where no row of that payload has an id. Very large payloads are held whole,
+one at a time, by the task that writes or reads them. Other columns are not read. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -37,7 +37,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import new_folder
 
 REVISIT_BYTES = 1000
+#: Least bytes between two places where reading may start; bytes of payloads in one batch.
 RANGE, BATCH = 8 << 20, 4 << 20
+#: Partitions of one read; ranges of an archive grow with it beyond RANGE times as many.
+PARTITIONS = 50_000
+#: Parts of a payload's rows in the join with payloads seen twice: no task meets all copies of one page.
+SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_type string, declared_bytes long, payload_bytes long, payload_sha1 string, payload binary"
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
@@ -97,7 +102,7 @@ class _Member:
             if extra[:2] == b"SL" and len(extra) >= 12:
                 self.length = int.from_bytes(extra[4:8], "little")
         source.seek(start)
-        self.inflate, self.data, self.rest = zlib.decompressobj(31), b"", b""
+        self.inflate, self.data = zlib.decompressobj(31), bytearray()
 
     def more(self, least: int) -> bool:
         got = False
@@ -126,7 +131,7 @@ class _Plain:
     """The same for a record that is not compressed."""
 
     def __init__(self, source, start: int):
-        self.source, self.start, self.data = source, start, b""
+        self.source, self.start, self.data = source, start, bytearray()
         self.total = 0
         source.seek(start)
 
@@ -186,7 +191,7 @@ def records(source, start: int, end: int, wanted, payload: bool) -> Iterator[dic
         while len(part.data) - base < length and (payload or http and b"\r\n\r\n" not in part.data[base:]):
             if not part.more(length - (len(part.data) - base) + 4 if payload else 1 << 12):
                 break
-        block = part.data[base : base + length]
+        block = bytes(memoryview(part.data)[base : base + length])
         row["declared_bytes"] = length
         if http:
             own, _, block = block.partition(b"\r\n\r\n")
@@ -197,6 +202,15 @@ def records(source, start: int, end: int, wanted, payload: bool) -> Iterator[dic
         at = part.skip()
 
 
+def _ranges(cuts: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring cuts joined until they are the least number of bytes apart."""
+    start = cuts[0]
+    for at in cuts[1:]:
+        if at - start >= least or at == cuts[-1]:
+            yield start, at
+            start = at
+
+
 @dataclass
 class Range(InputPartition):
     file: str
@@ -229,7 +243,8 @@ class WarcReader(DataSourceReader):
         if store.get_file_info(manifest).type == pafs.FileType.File:
             with store.open_input_stream(manifest) as f:
                 listed = [json.loads(x) for x in f.read().decode().splitlines()]
-            return [Range(f"{path}/{x['file']}", a, b) for x in listed for a, b in zip(x["cuts"], x["cuts"][1:])]
+            least = max(RANGE, sum(x["cuts"][-1] for x in listed) // PARTITIONS)
+            return [Range(f"{path}/{x['file']}", a, b) for x in listed for a, b in _ranges(x["cuts"], least)]
         files = store.get_file_info(pafs.FileSelector(path, recursive=True))
         return [Range(f.path, 0, f.size) for f in files if f.type == pafs.FileType.File and f.path.endswith((".warc", ".warc.gz"))]
 
@@ -325,7 +340,9 @@ def page_records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFr
     rows = rows.withColumns({"digest": F.sha1("html"), "payload_bytes": F.octet_length("html").cast("long")})
     narrow = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).select("id", "digest")
     groups = narrow.groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").drop("n")
-    again = narrow.join(groups, "digest").where(~F.col("id").eqNullSafe(F.col("keeper"))).select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "keeper").distinct()
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    narrow = narrow.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    again = narrow.join(groups, ["digest", "salt"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "keeper").distinct()
     rows = rows.join(again, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     revisit = F.col("rdigest").isNotNull()
