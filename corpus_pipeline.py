@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheetspark.llm import bpe_codec, line_dedup, mixing, near_dup, quality_fm
 from sheetspark.llm.common import cut, table
+from sheetspark.llm.queries import SITES
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many sources stay in one document; every document stays, if with less text."""
-    return line_dedup.remove_boilerplate(docs)
+    return line_dedup.remove_boilerplate(docs, min_sites=SITES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
