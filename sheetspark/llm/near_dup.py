@@ -48,6 +48,8 @@ SLACK = 0.28
 FIRST_TREES = 4
 #: Bytes of a shingle's hash in a stored set: two sets of 10^4 shingles share a false one with probability below 10^-6.
 WIDTH = 6
+#: Hashes of documents that a filter of texts tells apart.
+SLOTS = 1 << 18
 _M = (1 << 64) - 1
 
 
@@ -192,6 +194,13 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the documents wanted. Most others are dropped before the shuffle: those whose hash has no slot; there are SLOTS at most to broadcast."""
+    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS))
+    slots = wanted.select(slot.alias("slot")).distinct()
+    return texts.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(wanted, "doc", "left_semi")
+
+
 def _packed(involved: DataFrame, sets: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """id, packed (the full set) of the classes involved: from the texts of their least documents whose digest is the class's."""
     schema = "doc long, d1 long, d2 long, packed binary"
@@ -205,7 +214,7 @@ def _packed(involved: DataFrame, sets: DataFrame, docs: DataFrame, k: int, id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(map(pack, found), pa.binary())], schema=fields)
 
     want = cut(sets.join(involved, "id", "left_semi").select("id", "rep", "d1", "d2"), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(want.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
+    texts = _of(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), want.select(F.col("rep").alias("doc")).distinct())
     both = texts.mapInArrow(run, schema).join(want, ["d1", "d2"]).where("doc = rep")
     return cut(both.dropDuplicates(["d1", "d2"]).select("id", "packed"), "sets")
 
