@@ -8,8 +8,8 @@ with the counts of PRIOR words of the language's median share added, so that sho
 For each language and source the minimum-covariance-determinant estimate of centre and scatter is sought, regularised
 by RIDGE: of all CORE parts of a group's rows, the one whose scatter plus ridge has the least determinant. Several
 starts (medians and quartile ranges, correlations of hyperbolic tangents, spatial signs, random subsets of P + 1 rows)
-each take two concentration steps; the BEST with the least determinants go on until no determinant changes. A
-concentration step takes the CORE of rows nearest to an estimate as the next one's, which never raises the determinant
+each take two concentration steps; the BEST with the least determinants go on to STEPS of them, whatever the size of
+the table. A concentration step takes the CORE of rows nearest to an estimate as the next one's, which never raises the determinant
 of the exact core. The least determinant wins and is reweighted. The ridge is a tenth of the variances that ordinary
 texts have, and keeps a group of mere copies from rejecting everything else.
 
@@ -48,7 +48,7 @@ _ALNUM = re.compile(r"[^\W_]+")
 WINDOW, PRIOR, REACH = 50, 40, 1000
 #: Shares where a language has no row that passes the rules: characters of a word, marks of characters, distinct words.
 USUAL = (5.0, 0.03, 0.9)
-MIN_GROUP, CORE, STEPS, BEST, SUBSETS, ACCURACY = 40, 0.75, 30, 3, 5, 1000
+MIN_GROUP, CORE, STEPS, BEST, SUBSETS, ACCURACY = 40, 0.75, 10, 3, 5, 1000
 #: Standard deviations that the ridge adds to each statistic.
 RIDGE = (0.01, 0.045, 0.055, 0.15)
 #: Chi-square with 4 degrees of freedom: quantiles .75 and .975.
@@ -272,12 +272,8 @@ def estimate(rows: DataFrame, ridge: tuple = RIDGE, tail: float = TAIL, subsets:
         if step == 1:
             rank = F.row_number().over(Window.partitionBy("g").orderBy("logdet", "s"))
             after = cut(after.withColumn("k", rank).where(F.col("k") <= best_of).drop("k"), "mcd-best")
-        moved = after.join(model.select("g", "s", F.col("logdet").alias("was")), ["g", "s"]).where(F.abs(F.col("logdet") - F.col("was")) > 1e-9)
-        done = step > 1 and moved.isEmpty()
         discard(model)
         model = after
-        if done:
-            break
     best = model.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("logdet", "s"))).where("k = 1").drop("k")
     if reweighted:
         best = _step(z, units, best, ridge, CHI_WEIGHT)
