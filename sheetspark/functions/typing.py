@@ -26,6 +26,12 @@ def to_number(v: Column) -> Column:
     return F.when(plain.rlike(NUMBER), plain.try_cast("double")).when(plain.rlike(SPECIAL), plain.try_cast("double"))
 
 
+def to_float(v: Column) -> Column:
+    """The number that a text is as it stands; null if it is none."""
+    plain = strip(v)
+    return F.when(plain.rlike(NUMBER) | plain.rlike(SPECIAL), plain.try_cast("double"))
+
+
 def looks_like_date(v: Column) -> Column:
     t = strip(v)
     dashes = F.length(t) - F.length(without(t, "-"))

@@ -1,7 +1,8 @@
 """Extraction: where a range's headers are, its rows of data, and how good the result is.
 
 Candidates for the header (first row, depth) are scored for all tables at once: rows are numbered inside their table,
-column types are counted for each candidate by a join on the table, and the best candidate is an ordered maximum.
+column types are counted once for each first row of data that candidates share, in one aggregation of a table's top
+rows, and the best candidate is an ordered maximum.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.addr import column_letter
-from ..functions.typing import cell_kind, strip
+from ..functions.typing import cell_kind, strip, to_float
 from ..store import keep
 from ..model import KEY, PLATES, filled
 from .grid import join_regions
@@ -34,14 +35,16 @@ def density(m: DataFrame) -> DataFrame:
 
 def row_facts(m: DataFrame) -> DataFrame:
     """Per row of a table: filled cells, text cells, distinct texts, coverage and whether it is a title."""
-    s = m.groupBy(*TABLE, "h", "w", "i").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "text").alias("texts"), F.count_distinct(strip(F.col("v"))).alias("distinct"))
+    s = m.groupBy(*TABLE, "h", "w", "i").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "text").alias("texts"), F.count_distinct("v").alias("distinct"))
     return s.withColumns({"coverage": F.col("n") / F.col("w"), "is_title": (F.col("n") <= 2) & (F.col("w") > 3)})
 
 
-def type_consistency(typed: DataFrame, by: list[str]) -> DataFrame:
-    """Mean over columns of the share of the commonest kind. typed: by, j, kind."""
-    s = typed.groupBy(*by, "j", "kind").agg(F.count(F.lit(1)).alias("k")).groupBy(*by, "j").agg((F.max("k") / F.sum("k")).alias("share"))
-    return s.groupBy(*by).agg(F.avg("share").alias("types"))
+def type_consistency(m: DataFrame, firsts: range) -> DataFrame:
+    """types: for each first row of data, the mean over columns of the share of the commonest kind in SAMPLE rows from there on."""
+    within = lambda f: F.count_if(F.col("i").between(f, f + SAMPLE - 1))
+    kinds = m.where(F.col("i") < firsts.stop - 1 + SAMPLE).groupBy(*TABLE, "j", "kind").agg(*[within(f).alias(f"k{f}") for f in firsts])
+    share = kinds.groupBy(*TABLE, "j").agg(*[F.try_divide(F.max(f"k{f}"), F.sum(f"k{f}")).alias(f"k{f}") for f in firsts])
+    return share.groupBy(*TABLE).agg(F.array(*[F.avg(f"k{f}") for f in firsts]).alias("all_types"))
 
 
 def column_types(m: DataFrame, first_row: int = 1) -> DataFrame:
@@ -52,16 +55,15 @@ def column_types(m: DataFrame, first_row: int = 1) -> DataFrame:
 
 
 def header_scores(m: DataFrame) -> DataFrame:
-    """Scores of every header candidate (start, depth) that leaves a row of data."""
-    rows = row_facts(m)
-    size = m.select(*TABLE, "h", "w").distinct()
-    c = size.withColumn("start", F.explode(F.sequence(F.lit(0), F.least(F.lit(STARTS), F.greatest(F.lit(1), F.col("h") - 2)) - 1)))
-    c = c.withColumn("depth", F.explode(F.array(*map(F.lit, DEPTHS)))).where(F.col("start") + F.col("depth") < F.col("h"))
-    titles = rows.where("is_title").select(*TABLE, F.col("i").alias("start"))
-    c = c.join(titles, [*TABLE, "start"], "left_anti")
+    """Scores of every header candidate (start, depth) that leaves two rows or more."""
+    rows = row_facts(m.where(F.col("i") < STARTS + len(DEPTHS)))
+    size = m.select(*TABLE, "h", "w").distinct().where("h > 2")
+    c = size.withColumn("start", F.explode(F.sequence(F.lit(0), F.least(F.lit(STARTS), F.col("h") - 2) - 1)))
+    c = c.withColumn("depth", F.explode(F.array(*map(F.lit, DEPTHS)))).where(F.col("start") + F.col("depth") <= F.col("h") - 2)
+    # a row with one or two cells of more than three is a title, and so is an empty one
+    c = c.join(rows.select(*TABLE, F.col("i").alias("start"), "n"), [*TABLE, "start"], "left").where((F.coalesce("n", F.lit(0)) > 2) | (F.col("w") <= 3)).drop("n")
     first = F.col("start") + F.col("depth")
-    data = c.join(m.select(*TABLE, "i", "j", "kind"), TABLE).where(F.col("i").between(first, first + SAMPLE - 1))
-    types = type_consistency(data, [*TABLE, "start", "depth"])
+    types = type_consistency(m, range(1, STARTS + len(DEPTHS)))
     head = c.join(rows.drop("h", "w"), TABLE).where((F.col("i") >= F.col("start")) & (F.col("i") < first))
     parts = head.groupBy(*TABLE, "start", "depth").agg(
         F.sum(F.col("texts") / F.col("n")).alias("texty"),
@@ -70,27 +72,34 @@ def header_scores(m: DataFrame) -> DataFrame:
         F.max(F.when(F.col("i") == F.col("start"), F.col("coverage"))).alias("coverage"),
     )
     quality = (F.col("texty") + F.coalesce("unique", F.lit(0.0))) / (F.col("rows") + F.col("unique").isNotNull().cast("int"))
-    s = c.join(types, [*TABLE, "start", "depth"], "left").join(parts, [*TABLE, "start", "depth"], "left")
+    s = c.join(types, TABLE, "left").withColumn("types", F.get("all_types", first - 1)).join(parts, [*TABLE, "start", "depth"], "left")
     score = 0.5 * F.coalesce("types", F.lit(0.0)) + 0.3 * F.coalesce(quality, F.lit(0.0)) + 0.2 * F.coalesce("coverage", F.lit(0.0))
     return s.select(*TABLE, "start", "depth", "types", quality.alias("quality"), "coverage", score.alias("score"))
 
 
 def vertical_headers(scores: DataFrame) -> DataFrame:
-    """The best candidate of each table, the earliest and shallowest of equals; accepted above 0.5."""
-    best = F.max_by(F.struct("start", "depth", "score"), F.struct("score", -F.col("start"), -F.col("depth")))
-    return scores.groupBy(*TABLE).agg(best.alias("b")).select(*TABLE, "b.start", "b.depth", F.col("b.score").alias("confidence"), (F.col("b.score") > 0.5).alias("has_headers"))
+    """The best candidate of each table, the earliest and shallowest of equals; at 0.5 or less there is none, with confidence 0."""
+    best = F.max_by(F.struct("start", "depth", "score"), F.struct(F.round("score", 9), -F.col("start"), -F.col("depth")))  # sums in any order
+    s = scores.groupBy(*TABLE).agg(best.alias("b")).where("b.score > 0.5")
+    return s.select(*TABLE, "b.start", "b.depth", F.col("b.score").alias("confidence"))
+
 
+def horizontal_headers(m: DataFrame, min_rows: int = 2) -> DataFrame:
+    """Headers down the first column: the best score over 1 to 3 header columns that leave min_rows (uniqueness, texts, single-type columns).
 
-def horizontal_headers(m: DataFrame) -> DataFrame:
-    """Headers down the first column: the best score over 1 to 3 header columns (uniqueness, texts, single-type columns)."""
+    Rows without a name get one of their own, which is a text.
+    """
     size = m.select(*TABLE, "h", "w").distinct()
-    names = m.where("j = 0").groupBy(*TABLE).agg((F.count_distinct(strip(F.col("v"))) / F.first("h")).alias("unique"), (F.count_if(F.col("kind") == "text") / F.first("h")).alias("texty"))
-    c = size.withColumn("depth", F.explode(F.array(*map(F.lit, DEPTHS)))).where(F.col("depth") < F.col("w"))
-    data = c.join(m.select(*TABLE, "i", "j", "kind"), TABLE).where(F.col("j") >= F.col("depth"))
-    single = data.groupBy(*TABLE, "depth", "j").agg((F.count_distinct("kind") == 1).cast("double").alias("one")).groupBy(*TABLE, "depth").agg(F.avg("one").alias("single"))
-    s = c.join(names, TABLE).join(single, [*TABLE, "depth"], "left")
-    score = 0.3 * F.col("unique") + 0.3 * F.col("texty") + 0.4 * F.coalesce("single", F.lit(0.0))
-    best = s.withColumn("score", score).groupBy(*TABLE).agg(F.max_by(F.struct("depth", "score"), F.struct("score", -F.col("depth"))).alias("b"))
+    digits = F.regexp_replace("v", r"[.\-]", "").rlike(r"^\p{Nd}+$")
+    names = m.where("j = 0").groupBy(*TABLE).agg(F.count(F.lit(1)).alias("named"), F.count_distinct("v").alias("distinct"), F.count_if(~digits).alias("texty"))
+    c = size.withColumn("depth", F.explode(F.array(*map(F.lit, DEPTHS)))).where((F.col("depth") <= F.col("w") - min_rows) & (F.col("w") >= 2))
+    plain = F.when(F.col("vtype").isin("number", "boolean") | ((F.col("vtype") != "datetime") & to_float(F.col("v")).isNotNull()), "numeric").when(F.col("vtype") == "datetime", "datetime").otherwise("text")
+    one = m.groupBy(*TABLE, "j").agg((F.min(plain) == F.max(plain)).cast("int").alias("one"))
+    single = c.join(one, TABLE).where(F.col("j") >= F.col("depth")).groupBy(*TABLE, "depth").agg(F.sum("one").alias("single"))
+    s = c.join(names, TABLE, "left").join(single, [*TABLE, "depth"], "left").fillna({"named": 0, "distinct": 0, "texty": 0, "single": 0})
+    unnamed = F.col("h") - F.col("named")
+    score = (F.col("distinct") + unnamed) / F.col("h") * 0.3 + (F.col("texty") + unnamed) / F.col("h") * 0.3 + F.col("single") / (F.col("w") - F.col("depth")) * 0.4
+    best = s.withColumn("score", score).groupBy(*TABLE).agg(F.max_by(F.struct("depth", "score"), F.struct(F.round("score", 9), -F.col("depth"))).alias("b"))
     return best.select(*TABLE, F.col("b.depth").alias("h_depth"), F.col("b.score").alias("h_confidence"))
 
 
@@ -116,8 +125,8 @@ def analyse(cells: DataFrame, tables: DataFrame, min_rows: int = 2, min_density:
     """Per table: density, orientation, header place and confidence, first data row or column, quality and status."""
     m = matrix(cells, tables).transform(keep)
     d = density(m)
-    v, x, p = vertical_headers(header_scores(m)), horizontal_headers(m), plates(m)
-    titles = row_facts(m).where("not is_title").groupBy(*TABLE).agg(F.min("i").alias("first_row"))
+    v, x, p = vertical_headers(header_scores(m)), horizontal_headers(m, min_rows), plates(m)
+    titles = row_facts(m).where("not is_title and w > 3").groupBy(*TABLE).agg(F.min("i").alias("first_row"))
     s = d.join(v, TABLE, "left").join(x, TABLE, "left").join(p, TABLE, "left").join(titles, TABLE, "left")
     across = F.coalesce(F.col("h_confidence"), F.lit(0.0))
     up = F.coalesce(F.col("confidence"), F.lit(0.0))
@@ -127,11 +136,13 @@ def analyse(cells: DataFrame, tables: DataFrame, min_rows: int = 2, min_density:
     s = s.withColumns({"orientation": orientation, "header_confidence": conf})
     has = plate | (F.col("header_confidence") > 0.5)
     depth = F.when(plate, 1).when(~has, 0).when(F.col("orientation") == "vertical", F.col("depth")).otherwise(F.col("h_depth"))
-    s = s.withColumns({"has_headers": has, "header_depth": depth.cast("int"), "first_row": F.coalesce("first_row", F.lit(0))})
-    flat = F.col("orientation") == "horizontal"
-    data0 = F.when(flat, F.lit(0)).otherwise(F.when(F.col("orientation") == "vertical", F.col("first_row")).otherwise(0) + F.col("header_depth"))
+    tested = F.least(F.lit(STARTS), F.greatest(F.lit(0), F.col("h") - 2))  # titles are looked for in these rows
+    s = s.withColumns({"has_headers": has, "header_depth": depth.cast("int"), "first_row": F.least(F.coalesce("first_row", F.lit(0)), tested)})
+    flat = (F.col("orientation") == "horizontal") & F.col("has_headers")
+    upright = F.col("has_headers") & (F.col("orientation") == "vertical")
+    data0 = F.when(flat, F.lit(0)).otherwise(F.when(upright, F.col("first_row")).otherwise(0) + F.col("header_depth"))
     s = s.withColumn("data_row", data0.cast("int")).transform(keep)
-    body = m.join(s.select(*TABLE, "data_row", "orientation", "header_depth"), TABLE).where((F.col("i") >= F.col("data_row")) & ((F.col("orientation") != "horizontal") | (F.col("j") >= F.col("header_depth"))))
+    body = m.join(s.select(*TABLE, "data_row", "orientation", "has_headers", "header_depth"), TABLE).where((F.col("i") >= F.col("data_row")) & (~flat | (F.col("j") >= F.col("header_depth"))))
     full = body.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("data_cells"))
     s = s.join(full, TABLE, "left").fillna({"data_cells": 0})
     rows = F.when(flat, F.col("w") - F.col("header_depth")).otherwise(F.col("h") - F.col("data_row"))
@@ -162,12 +173,12 @@ def headers(cells: DataFrame, tables: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def extract(cells: DataFrame, tables: DataFrame, facts: DataFrame | None = None, **options) -> DataFrame:
-    """Long form: table, row, col, header, value, kind of every data cell. Horizontal tables are transposed."""
+    """Long form: table, row, col, header, value, kind of every data cell. Tables with horizontal headers are transposed."""
     facts = analyse(cells, tables, **options) if facts is None else facts
     m = matrix(cells, tables).drop("h", "w")
     f = facts.where("status = 'success'")
-    at = m.join(f.select(*TABLE, "orientation", "header_depth", "data_row"), TABLE)
-    flat = F.col("orientation") == "horizontal"
+    at = m.join(f.select(*TABLE, "orientation", "has_headers", "header_depth", "data_row"), TABLE)
+    flat = (F.col("orientation") == "horizontal") & F.col("has_headers")
     at = at.where(F.when(flat, F.col("j") >= F.col("header_depth")).otherwise(F.col("i") >= F.col("data_row")))
     row = F.when(flat, F.col("j") - F.col("header_depth")).otherwise(F.col("i") - F.col("data_row")).cast("int")
     col = F.when(flat, F.col("i")).otherwise(F.col("j")).cast("int")
