@@ -1,54 +1,73 @@
-"""Bordered boxes: corners, runs of border cells to the right and down, verified edges, greedy choice of disjoint boxes."""
+"""Bordered boxes: corners, runs of border cells along the four edges, values counted by running sums, greedy choice.
+
+No box is joined with its cells. Where borders run without a break, the end of each run is a column of its cells, so
+an edge is whole if the run at its start reaches its end. All rows of a box have a cell on its left and right edge, so
+the box's values are the difference of two running sums down those columns of the values counted along each row.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEY, valued
-from .grid import join_regions
+from ..store import keep
+
+BOX = ["r0", "c0", "r1", "c1"]
 
 
 def bordered(side: str):
     return F.coalesce(F.col(side).isNotNull() & (F.col(side) != "none"), F.lit(False))
 
 
-def candidates(cells: DataFrame, min_rows: int = 2, min_cols: int = 2) -> DataFrame:
-    """Boxes (r0, c0, r1, c1) from cells with top and left borders: as far right as top borders run, as far down as left ones."""
-    across = Window.partitionBy(*KEY, "r").orderBy("c")
-    down = Window.partitionBy(*KEY, "c").orderBy("r")
-    tops = cells.where(bordered("bt")).select(*KEY, "r", "c", (F.col("c") - F.row_number().over(across)).alias("run"))
-    tops = tops.withColumn("c1", F.max("c").over(Window.partitionBy(*KEY, "r", "run"))).drop("run")
-    lefts = cells.where(bordered("bl")).select(*KEY, "r", "c", (F.col("r") - F.row_number().over(down)).alias("run"))
-    lefts = lefts.withColumn("r1", F.max("r").over(Window.partitionBy(*KEY, "c", "run"))).drop("run")
-    both = tops.join(lefts, [*KEY, "r", "c"]).withColumnsRenamed({"r": "r0", "c": "c0"})
-    return both.where((F.col("r1") - F.col("r0") + 1 >= min_rows) & (F.col("c1") - F.col("c0") + 1 >= min_cols)).select(*KEY, "r0", "c0", "r1", "c1")
+def edges(cells: DataFrame) -> DataFrame:
+    """Cells with a border on sheets with a corner: ends of the runs of top, bottom, left and right borders, and running sums of values."""
+    flags = {"t": bordered("bt"), "b": bordered("bb"), "l": bordered("bl"), "g": bordered("br")}
+    corners = cells.where(flags["t"] & flags["l"]).select(*KEY).distinct()
+    own = cells.join(corners, KEY, "left_semi").select(*KEY, "r", "c", valued().cast("long").alias("v"), *[f.alias(n) for n, f in flags.items()])
+    by_row = Window.partitionBy(*KEY, "r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    e = own.withColumn("along", F.sum("v").over(by_row)).where("t or b or l or g")
+    for flag, along, across in (("t", "c", "r"), ("b", "c", "r"), ("l", "r", "c"), ("g", "r", "c")):
+        # flagged cells at neighbouring places are as far apart as their numbers: their difference names the run
+        e = e.withColumn("run", F.col(along) - F.row_number().over(Window.partitionBy(*KEY, across, flag).orderBy(along)))
+        end = F.max(along).over(Window.partitionBy(*KEY, across, flag, "run"))
+        e = e.withColumn(f"{flag}_end", F.when(F.col(flag), end)).drop("run")
+    down = Window.partitionBy(*KEY, "c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    return e.withColumns({"left_sum": F.sum(F.when(F.col("l"), F.col("along") - F.col("v")).otherwise(0)).over(down), "right_sum": F.sum(F.when(F.col("g"), F.col("along")).otherwise(0)).over(down)})
 
 
-def verified(cells: DataFrame, boxes: DataFrame, min_density: float = 0.3) -> DataFrame:
-    """Boxes whose four edges are bordered all along and which hold values enough."""
-    at = join_regions(cells, boxes)
-    edge = lambda on, side: F.count_if(on & bordered(side))
-    r, c = F.col("r"), F.col("c")
-    s = at.groupBy(*KEY, "r0", "c0", "r1", "c1").agg(
-        edge(r == F.col("r0"), "bt").alias("t"), edge(r == F.col("r1"), "bb").alias("b"), edge(c == F.col("c0"), "bl").alias("l"), edge(c == F.col("c1"), "br").alias("g"), F.count_if(valued()).alias("nv")
-    )
-    w, h = F.col("c1") - F.col("c0") + 1, F.col("r1") - F.col("r0") + 1
-    return s.where((F.col("t") == w) & (F.col("b") == w) & (F.col("l") == h) & (F.col("g") == h) & (F.col("nv") / (w * h) >= min_density)).select(*KEY, "r0", "c0", "r1", "c1")
+def verified(cells: DataFrame, min_rows: int = 2, min_cols: int = 2, min_density: float = 0.3) -> DataFrame:
+    """Boxes from cells with top and left borders, as far right as top borders run and as far down as left ones, whose other edges are whole too and which hold values enough."""
+    e = edges(cells).transform(keep)
+    b = e.where("t and l").select(*KEY, F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("l_end").alias("r1"), F.col("t_end").alias("c1"), (F.col("left_sum") - F.col("along") + F.col("v")).alias("left_before"))
+    b = b.where((F.col("r1") - F.col("r0") + 1 >= min_rows) & (F.col("c1") - F.col("c0") + 1 >= min_cols))
+    low_left = e.where("b and l").select(*KEY, F.col("r").alias("r1"), F.col("c").alias("c0"), "b_end", "left_sum")
+    up_right = e.where("g").select(*KEY, F.col("r").alias("r0"), F.col("c").alias("c1"), "g_end", (F.col("right_sum") - F.col("along")).alias("right_before"))
+    low_right = e.where("g").select(*KEY, F.col("r").alias("r1"), F.col("c").alias("c1"), "right_sum")
+    b = b.join(low_left, [*KEY, "r1", "c0"]).where("b_end >= c1").join(up_right, [*KEY, "r0", "c1"]).where("g_end >= r1").join(low_right, [*KEY, "r1", "c1"])
+    values = F.col("right_sum") - F.col("right_before") - (F.col("left_sum") - F.col("left_before"))
+    area = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
+    return b.where(values / area >= min_density).select(*KEY, *BOX)
 
 
 def _disjoint(df: pd.DataFrame) -> pd.DataFrame:
     df = df.sort_values(["r0", "c0"], kind="stable")
-    kept = []
-    for row in df.itertuples(index=False):
-        if not any(k.r0 <= row.r0 <= k.r1 and k.c0 <= row.c0 <= k.c1 for k in kept):
-            kept.append(row)
-    return pd.DataFrame(kept, columns=df.columns)
+    boxes, kept = df[BOX].to_numpy(), []
+    taken = np.zeros((0, 4), boxes.dtype)
+    for i, (r0, c0, _, _) in enumerate(boxes):
+        if not ((taken[:, 0] <= r0) & (taken[:, 2] >= r0) & (taken[:, 1] <= c0) & (taken[:, 3] >= c0)).any():
+            kept.append(i)
+            taken = np.vstack([taken[taken[:, 2] >= r0], boxes[i]])  # boxes that end above this row hold no later corner
+    return df.iloc[kept]
 
 
 def detect(cells: DataFrame) -> DataFrame:
-    """Boxes in row-major order of their corners; corners inside an earlier box are passed over. Only box rows are grouped."""
-    good = verified(cells, candidates(cells))
-    chosen = good.groupBy(*KEY).applyInPandas(_disjoint, good.schema)
+    """Boxes in row-major order of their corners; corners inside an earlier box are passed over. Sheets with one box are settled without Python."""
+    good = verified(cells).transform(keep)
+    several = good.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*KEY)
+    chosen = good.join(several, KEY, "left_anti")
+    if not several.isEmpty():
+        chosen = chosen.unionByName(good.join(several, KEY, "left_semi").groupBy(*KEY).applyInPandas(_disjoint, good.schema))
     return chosen.withColumns({"confidence": F.lit(0.95), "method": F.lit("box_table"), "table_id": F.concat_ws("_", F.lit("box"), "r0", "c0")})
