@@ -19,6 +19,8 @@ from .grid import join_regions
 from .boxes import bordered
 
 ISLAND = ["ir", "ic"]
+#: A sheet with more runs than this is not labelled by one task; either way gives the same islands.
+TASK_RUNS = 2_000_000
 SIDES = ("bt", "bb", "bl", "br")
 
 # Likeness of border signatures; equal ones are 1, pairs that are not listed 0.3.
@@ -94,19 +96,26 @@ def components(cells: DataFrame, gap: int = 1, diagonal: bool = True) -> DataFra
         raise ValueError("gaps above 1 need diagonals")
     if gap == 0:
         return cells.where(filled()).select(*KEY, "r", F.col("c").alias("c0"), F.col("c").alias("c1"), F.lit(1).cast("long").alias("n"), F.col("r").alias("ir"), F.col("c").alias("ic"))
-    runs = row_runs(cells, gap)
-    return runs.groupBy(*KEY).applyInPandas(_components(gap, diagonal), "file_id string, sheet_idx int, r int, c0 int, c1 int, n long, ir int, ic int")
+    runs = row_runs(cells, gap).transform(keep)
+    large = runs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > TASK_RUNS).select(*KEY).transform(keep)
+    small = runs.join(large, KEY, "left_anti").groupBy(*KEY).applyInPandas(_components(gap, diagonal), "file_id string, sheet_idx int, r int, c0 int, c1 int, n long, ir int, ic int")
+    return small if large.isEmpty() else small.unionByName(_linked(runs.join(large, KEY, "left_semi"), gap, gap if diagonal else 0))
 
 
-def components_distributed(cells: DataFrame, gap: int = 1, rounds: int = 100) -> DataFrame:
-    """The same for a sheet too large for one task: least labels over linked runs, with pointer jumping, a checkpoint a round."""
-    runs = row_runs(cells, gap).withColumn("id", F.struct("r", "c0"))
+def components_distributed(cells: DataFrame, gap: int = 1) -> DataFrame:
+    """The same in the form for sheets too large for one task."""
+    return _linked(row_runs(cells, gap), gap, gap)
+
+
+def _linked(runs: DataFrame, gap: int, reach: int) -> DataFrame:
+    """Least labels over linked runs, with pointer jumping until no label changes, a checkpoint a round."""
+    runs = runs.withColumn("id", F.struct("r", "c0"))
     step = F.explode(F.sequence(F.lit(1), F.lit(gap))).alias("d")
     down = runs.select(*KEY, F.col("id").alias("x"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), (F.col("r")).alias("row"), step).withColumn("r", F.col("row") + F.col("d"))
-    links = down.join(runs.select(*KEY, "r", F.col("id").alias("y"), "c0", "c1"), [*KEY, "r"]).where((F.col("c0") <= F.col("a1") + gap) & (F.col("a0") <= F.col("c1") + gap)).select(*KEY, "x", "y")
+    links = down.join(runs.select(*KEY, "r", F.col("id").alias("y"), "c0", "c1"), [*KEY, "r"]).where((F.col("c0") <= F.col("a1") + reach) & (F.col("a0") <= F.col("c1") + reach)).select(*KEY, "x", "y")
     links = links.unionByName(links.select(*KEY, F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
     labels = runs.select(*KEY, "id", F.col("id").alias("label")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = links.join(labels.select(*KEY, F.col("id").alias("y"), F.col("label").alias("m")), [*KEY, "y"]).groupBy(*KEY, F.col("x").alias("id")).agg(F.min("m").alias("m"))
         low = labels.join(near, [*KEY, "id"], "left").select(*KEY, "id", "label", F.least("label", "m").alias("m"))
         jump = labels.select(*KEY, F.col("id").alias("m"), F.col("label").alias("mm"))

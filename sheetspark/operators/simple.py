@@ -1,4 +1,4 @@
-"""Single-table detection: one table that fills the sheet from near its top left, in two aggregations a sheet."""
+"""Single-table detection: one table that fills the sheet from near its top left, from sums by row and by column."""
 
 from __future__ import annotations
 
@@ -8,22 +8,41 @@ from pyspark.sql import functions as F
 from ..functions.addr import column_letter, format_range
 from ..functions.typing import strip
 from ..model import KEY, filled, valued
+from ..store import keep
 
 
-def bounds(cells: DataFrame) -> DataFrame:
-    """Per sheet r0, r1, c0, c1: the whole sheet where A1 has a value and the sheet is over 0.3 full, else the non-empty cells."""
+def row_totals(cells: DataFrame) -> DataFrame:
+    """Per row of a sheet: its non-empty cells (all, other than text, bold), their first and last column, the last column of any cell."""
     f = filled()
-    s = cells.groupBy(*KEY).agg(
-        F.count_if(f).alias("n_filled"),
-        F.max("r").alias("mr"),
-        F.max("c").alias("mc"),
+    return cells.groupBy(*KEY, "r").agg(
+        F.count_if(f).alias("nf"),
+        F.count_if(f & (F.col("vtype") != "string")).alias("other"),
+        F.count_if(f & F.col("is_bold")).alias("bold"),
+        F.min(F.when(f, F.col("c"))).alias("lo"),
+        F.max(F.when(f, F.col("c"))).alias("hi"),
+        F.max("c").alias("last"),
         F.max(F.when((F.col("r") == 0) & (F.col("c") == 0) & valued(), 1)).alias("corner"),
-        *[fn(F.when(f, F.col(x))).alias(n + x) for x in ("r", "c") for n, fn in (("lo", F.min), ("hi", F.max))],
     )
-    whole = (F.col("corner") == 1) & (F.col("n_filled") / ((F.col("mr") + 1) * (F.col("mc") + 1)) > 0.3)
+
+
+def bounds(rows: DataFrame) -> DataFrame:
+    """Per sheet r0, r1, c0, c1: the whole sheet where A1 has a value and the sheet is over 0.3 full, else the non-empty cells. rows: row_totals."""
+    has = F.col("nf") > 0
+    s = rows.groupBy(*KEY).agg(
+        F.sum("nf").alias("n_filled"),
+        F.count_if(has).alias("rows_used"),
+        F.max("r").alias("max_row"),
+        F.max("last").alias("max_col"),
+        F.max("corner").alias("corner"),
+        F.min(F.when(has, F.col("r"))).alias("lor"),
+        F.max(F.when(has, F.col("r"))).alias("hir"),
+        F.min("lo").alias("loc"),
+        F.max("hi").alias("hic"),
+    )
+    whole = (F.col("corner") == 1) & (F.col("n_filled") / ((F.col("max_row") + 1) * (F.col("max_col") + 1)) > 0.3)
     pick = lambda a, b: F.when(F.coalesce(whole, F.lit(False)), a).otherwise(F.coalesce(b, F.lit(0))).cast("int")
     zero = F.lit(0)
-    return s.select(*KEY, "n_filled", pick(zero, F.col("lor")).alias("r0"), pick(F.col("mr"), F.col("hir")).alias("r1"), pick(zero, F.col("loc")).alias("c0"), pick(F.col("mc"), F.col("hic")).alias("c1"))
+    return s.select(*KEY, "n_filled", "rows_used", "max_row", "max_col", pick(zero, F.col("lor")).alias("r0"), pick(F.col("max_row"), F.col("hir")).alias("r1"), pick(zero, F.col("loc")).alias("c0"), pick(F.col("max_col"), F.col("hic")).alias("c1"))
 
 
 def header_flags(first_row, next_row):
@@ -42,26 +61,25 @@ def confidence(r0, c0, density, has_headers, rows):
 
 
 def detect(cells: DataFrame) -> DataFrame:
-    """Per sheet: is_simple, reason, bounds, range, density, has_headers, confidence."""
-    b = bounds(cells)
-    at = cells.join(b, KEY)
-    within = F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1"))
-    first, second = within & (F.col("r") == F.col("r0")), within & (F.col("r") == F.col("r0") + 1)
-    # rows first: then every count of distinct rows is a plain count, and columns come from one set a sheet
-    rows = at.groupBy(*KEY, "r0", "r1", "c0", "c1", "n_filled", "r").agg(
-        F.count_if(within & filled()).alias("nf"),
-        F.count_if(within & valued()).alias("nv"),
-        *[F.count_if(w & x).alias(n) for n, w, x in (("a_v", first, valued()), ("a_other", first, valued() & (F.col("vtype") != "string")), ("a_bold", first, valued() & F.col("is_bold")), ("b_other", second, valued() & (F.col("vtype") != "string")))],
-        F.collect_set(F.when(within & filled(), F.col("c"))).alias("cols"),
-    )
-    s = rows.groupBy(*KEY, "r0", "r1", "c0", "c1", "n_filled").agg(
-        F.count_if(F.col("nf") > 0).alias("rows_used"),
-        F.sum("nv").alias("nv"),
-        *[F.sum(x).alias(x) for x in ("a_v", "a_other", "a_bold", "b_other")],
-        F.size(F.array_distinct(F.flatten(F.collect_set("cols")))).alias("cols_used"),
-    )
+    """Per sheet: is_simple, reason, bounds, range, density, has_headers, confidence, last row and column.
+
+    Cells are never shuffled: they are summed by row and by column first, and sheets are judged by those sums. Cells
+    of white space alone, which count as values but not as filled, are looked at by themselves.
+    """
+    rows = row_totals(cells).transform(keep)
+    b = bounds(rows).transform(keep)
+    used = cells.where(filled()).groupBy(*KEY, "c").agg(F.count(F.lit(1)).alias("n")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("cols_used"))
+    top = b.select(*KEY, "r0", F.explode(F.array("r0", F.col("r0") + 1)).alias("r")).join(rows, [*KEY, "r"])
+    first, second = F.col("r") == F.col("r0"), F.col("r") == F.col("r0") + 1
+    top = top.select(*KEY, *[F.when(on, F.col(x)).alias(n) for n, on, x in (("a_v", first, "nf"), ("a_other", first, "other"), ("a_bold", first, "bold"), ("b_other", second, "other"))], F.lit(0).cast("long").alias("blank"))
+    blank = cells.where(valued() & ~filled()).select(*KEY, "r", "c", (F.col("vtype") != "string").cast("long").alias("o"), F.col("is_bold").cast("long").alias("x")).join(b.select(*KEY, "r0", "r1", "c0", "c1"), KEY)
+    blank = blank.where(F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1")))
+    one = F.lit(1).cast("long")
+    blank = blank.select(*KEY, F.when(first, one).alias("a_v"), F.when(first, F.col("o")).alias("a_other"), F.when(first, F.col("x")).alias("a_bold"), F.when(second, F.col("o")).alias("b_other"), one.alias("blank"))
+    head = top.unionByName(blank).groupBy(*KEY).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("a_v", "a_other", "a_bold", "b_other", "blank")])
+    s = b.join(used, KEY, "left").join(head, KEY, "left").fillna({x: 0 for x in ("cols_used", "a_v", "a_other", "a_bold", "b_other", "blank")})
     height, width = F.col("r1") - F.col("r0") + 1, F.col("c1") - F.col("c0") + 1
-    s = s.withColumn("density", F.col("nv") / (height * width))
+    s = s.withColumn("density", (F.col("n_filled") + F.col("blank")) / (height * width))
     s = s.withColumn("has_headers", (F.col("a_v") > 0) & (F.col("a_other") == 0) & ((F.col("a_bold") > 0) | (F.col("b_other") > 0)))
     reason = (
         F.when(F.col("n_filled") == 0, "no data")
@@ -73,11 +91,11 @@ def detect(cells: DataFrame) -> DataFrame:
     )
     s = s.withColumn("reason", reason).withColumn("is_simple", F.col("reason") == "")
     conf = F.when(F.col("is_simple"), confidence(F.col("r0"), F.col("c0"), F.col("density"), F.col("has_headers"), height)).otherwise(0.0)
-    return s.select(*KEY, "is_simple", "reason", "r0", "c0", "r1", "c1", format_range(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")).alias("range"), "density", "has_headers", conf.alias("confidence"))
+    return s.select(*KEY, "is_simple", "reason", "r0", "c0", "r1", "c1", format_range(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")).alias("range"), "density", "has_headers", conf.alias("confidence"), "max_row", "max_col")
 
 
 def headers(cells: DataFrame, regions: DataFrame, ids: list[str], placeholder=None) -> DataFrame:
-    """ids, headers: first-row texts of each region, null ones replaced by the column letter or what placeholder makes of c."""
+    """ids, headers: first-row texts of each region, null ones replaced by the column letter or what placeholder makes of c and the ids."""
     top = regions.select(*KEY, *[i for i in ids if i not in KEY], F.col("r0").alias("r"), F.explode(F.sequence("c0", "c1")).alias("c"))
     named = top.join(cells.select(*KEY, "r", "c", "val_str"), [*KEY, "r", "c"], "left")
     text = F.coalesce(strip(F.col("val_str")), (placeholder or column_letter)(F.col("c")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.addr import column_letter
 from ..model import KEY, Config, valued
 from ..operators import boxes, islands, simple, structured
 from ..store import keep
@@ -16,6 +17,7 @@ from ..operators.grid import join_regions, totals_of
 OUT = [*KEY, "table_id", "r0", "c0", "r1", "c1", "confidence", "method", "has_headers"]
 BOUNDS = ["r0", "c0", "r1", "c1"]
 ULTRA_FAST, FAST, LARGE_AREA = 0.89, 0.95, 10_000
+TEXT_METHODS = ("plate_format_detection", "structured_text_detection", "wide_table_detection")
 
 
 def detect_tables(cells: DataFrame, sheets: DataFrame | None = None, config: Config = Config(confidence_threshold=0.6)) -> DataFrame:
@@ -28,7 +30,7 @@ def detect_tables(cells: DataFrame, sheets: DataFrame | None = None, config: Con
         kinds = kinds.withColumn("file_type", F.lit(None).cast("string"))
     threshold = config.confidence_threshold
     s = simple.detect(cells).where(F.col("is_simple") & F.lit(config.enable_simple))
-    area = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
+    area = (F.col("max_row") + 1) * (F.col("max_col") + 1)
     ultra = (F.col("confidence") >= ULTRA_FAST) & (area > LARGE_AREA)
     s = s.withColumn("method", F.when(ultra, "ultra_fast").when(F.col("confidence") >= FAST, "simple_case_fast"))
     s = s.withColumn("table_id", F.concat_ws("_", F.lit("simple"), "r0", "c0")).transform(keep)
@@ -98,5 +100,8 @@ def _finish(cells: DataFrame, tables: DataFrame, config: Config) -> DataFrame:
     share = F.col("n_cells") / F.col("total")
     out = out.withColumn("size_class", F.when(share >= 0.05, "large").when(share >= 0.01, "medium").otherwise("small"))
     out = out.transform(keep)
-    named = simple.headers(cells, out, ["table_id"])
-    return out.join(named, [*KEY, "table_id"], "left").withColumn("headers", F.when(F.col("has_headers") | (F.col("method") == "island_detection"), F.col("headers")))
+    numbered = F.col("method").isin(*TEXT_METHODS)
+    placeholder = lambda c: F.when(numbered, F.concat(F.lit("Column_"), (c + 1).cast("string"))).otherwise(column_letter(c))
+    named = simple.headers(cells, out, ["table_id", "method"], placeholder).drop("method")
+    # only a box without headers has no names; all others take their first row's
+    return out.join(named, [*KEY, "table_id"], "left").withColumn("headers", F.when((F.col("method") != "box_table") | F.col("has_headers"), F.col("headers")))
