@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import KEY, Config
+from .functions.addr import format_range
+from .model import FAULT, KEY, Config
 from .operators import extract
 from .plans.cascade import detect_tables as detect_cells
 from .sources import identify as ident
-from .sources.registry import read_cells
+from .sources.registry import read_all
 from .sources.xlsx import sheets_of
 from .store import keep
 
@@ -17,27 +20,54 @@ from .store import keep
 def identify(spark: SparkSession, path, config: Config = Config(), **options) -> DataFrame:
     """Files under a path, or a list of paths, with what they are; the rows of one file have its error where it has one."""
     files = ident.identify(ident.read_files(spark, path, max_mb=config.max_file_size_mb, **options))
-    error = F.when(F.col("length") == 0, "empty file").when(ident.encrypted(F.col("content")), "password protected").when(~F.col("is_supported"), F.concat(F.lit("unsupported type "), "file_type")).when(F.col("file_type") == "xls", "legacy workbooks have no reader")
+    error = F.when(F.col("length") > int(config.max_file_size_mb * 1024 * 1024), "file too large").when(F.col("length") == 0, "empty file").when(ident.encrypted(F.col("content")), "password protected").when(~F.col("is_supported"), F.concat(F.lit("unsupported type "), "file_type")).when(F.col("file_type") == "xls", "legacy workbooks have no reader")
     return files.withColumn("error", error)
 
 
 def detect_tables(spark: SparkSession, path, config: Config = Config(), **options) -> DataFrame:
     """Tables of all files under path: file_id, sheet_idx, range bounds, confidence, method, headers."""
-    cells, sheets = _read(identify(spark, path, config, **options))
-    return detect_cells(cells, sheets, config)
+    read = read_folder(spark, path, config, **options)
+    return detect_cells(read.cells, read.sheets, config)
+
+
+@dataclass(frozen=True)
+class Read:
+    """What a folder holds: files with their types and errors, cells, sheets with their file's type, and what could not be read (file_id, sheet_idx, error)."""
 
+    files: DataFrame
+    cells: DataFrame
+    sheets: DataFrame
+    errors: DataFrame
 
-def _read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells of the files without error, parsed once and kept, and their sheets with the file's type."""
+
+def read_folder(spark: SparkSession, path, config: Config = Config(), **options) -> Read:
+    """Files are identified once and parsed once; cells and errors are kept."""
+    files = identify(spark, path, config, **options)
+    known = files.drop("content").transform(keep)
     good = files.where("error is null")
-    cells = read_cells(good).transform(keep)
-    return cells, cells.select(*KEY).distinct().join(good.select(F.col("path").alias("file_id"), "file_type"), "file_id").transform(keep)
+    found = read_all(good, config.max_sheets).transform(keep)
+    cells = found.where(F.col("r") != FAULT)
+    sheets = cells.select(*KEY).distinct().join(known.select(F.col("path").alias("file_id"), "file_type"), "file_id").transform(keep)
+    whole = known.where("error is not null").select(F.col("path").alias("file_id"), F.lit(-1).alias("sheet_idx"), "error")
+    return Read(known, cells, sheets, whole.unionByName(found.where(F.col("r") == FAULT).select(*KEY, F.col("val_str").alias("error"))))
 
 
 def extract_tables(spark: SparkSession, path, config: Config = Config(), **options) -> DataFrame:
     """Long form of every table found under path."""
-    cells, sheets = _read(identify(spark, path, config))
-    return extract.extract(cells, detect_cells(cells, sheets, config), **options)
+    read = read_folder(spark, path, config)
+    return extract.extract(read.cells, detect_cells(read.cells, read.sheets, config), **options)
+
+
+def extraction_results(spark: SparkSession, path, config: Config = Config(), **options) -> tuple[DataFrame, DataFrame]:
+    """Per table: file, sheet, range, orientation, headers, quality and status; and the long form of those that succeeded."""
+    read = read_folder(spark, path, config)
+    tables = detect_cells(read.cells, read.sheets, config).transform(keep)
+    facts = extract.analyse(read.cells, tables, **options).transform(keep)
+    names = extract.headers(read.cells, tables, facts).groupBy(*KEY, "table_id").agg(F.sort_array(F.collect_list(F.struct("col", "header"))).alias("x"))
+    names = names.select(*KEY, "table_id", F.transform("x", lambda x: x["header"]).alias("columns"))
+    ranged = tables.select(*KEY, "table_id", format_range(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")).alias("range"), "method", F.col("confidence").alias("detection_confidence"))
+    results = ranged.join(facts, [*KEY, "table_id"]).join(names, [*KEY, "table_id"], "left")
+    return results, extract.extract(read.cells, tables, facts)
 
 
 def summary(files: DataFrame, tables: DataFrame) -> DataFrame:

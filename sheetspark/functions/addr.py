@@ -11,14 +11,14 @@ CELL = r"^([A-Z]+)([0-9]+)$"
 def column_letter(c: Column) -> Column:
     """0 -> A, 25 -> Z, 26 -> AA; null for negatives."""
     c = c.cast("long")
-    one, two = c - 26, c - 26 - 26 * 26
     letter = lambda n: F.char(65 + F.pmod(n, F.lit(26)))
-    return (
-        F.when(c < 0, F.lit(None).cast("string"))
-        .when(c < 26, letter(c))
-        .when(c < 26 + 676, F.concat(letter(F.floor(one / 26)), letter(one)))
-        .when(c < 26 + 676 + 17576, F.concat(letter(F.floor(two / 676)), letter(F.floor(two / 26)), letter(two)))
-    )
+    out = F.when(c < 0, F.lit(None).cast("string"))
+    first = 0  # the first index that needs so many letters; seven are enough for any int
+    for letters in range(1, 8):
+        own = [letter(F.floor((c - first) / 26**k)) for k in range(letters - 1, 0, -1)] + [letter(c - first)]
+        out = out.when(c < first + 26**letters, F.concat(*own))
+        first += 26**letters
+    return out
 
 
 def column_index(letters: Column) -> Column:

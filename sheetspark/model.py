@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: What identifies a sheet.
 KEY = ["file_id", "sheet_idx"]
+#: Row of the rows in which readers tell of what they could not read; sheet_idx -1 stands for the whole file.
+FAULT = -1
 
 CELLS = (
     "file_id string, sheet_idx int, sheet_name string, r int, c int, val_str string, val_num double, vtype string, fmt_str string, "

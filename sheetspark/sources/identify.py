@@ -194,10 +194,14 @@ def encrypted(content: Column) -> Column:
 
 
 def read_files(spark, path, recursive: bool = True, patterns: str = "*.{xlsx,xls,xlsm,csv,tsv,txt}", max_mb: float | None = None) -> DataFrame:
-    """Files as rows (path, length, content); hidden and lock files are passed over, too long ones too."""
+    """Files as rows (path, length, content); hidden and lock files are passed over. Files over max_mb have null content, which is never read."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if patterns:
         r = r.option("pathGlobFilter", patterns)
-    df = r.load(path).select("path", "length", "modificationTime", "content")
-    df = df.where(~F.regexp_extract("path", r"[^/]*$", 0).rlike(r"^[.~]"))
-    return df if max_mb is None else df.where(F.col("length") <= int(max_mb * 1024 * 1024))
+    shown = ~F.regexp_extract("path", r"[^/]*$", 0).rlike(r"^[.~]")
+    found = r.load(path).where(shown)
+    df = found.select("path", "length", "modificationTime", "content")
+    if max_mb is None:
+        return df
+    fits = F.col("length") <= int(max_mb * 1024 * 1024)
+    return df.where(fits).unionByName(found.where(~fits).select("path", "length", "modificationTime", F.lit(None).cast("binary").alias("content")))

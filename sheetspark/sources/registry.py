@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .identify import EXTENSIONS, SUPPORTED
-from .text import read_text
-from .xlsx import read_workbooks
+from .text import parse_text
+from .xlsx import parse_workbooks
 
 Reader = Callable[[DataFrame], DataFrame]
 _READERS: dict[str, Reader] = {}
@@ -20,11 +21,11 @@ class UnsupportedFormatError(ValueError):
 
 def reset() -> None:
     _READERS.clear()
-    _READERS.update({**dict.fromkeys(("xlsx", "xlsm"), read_workbooks), **dict.fromkeys(("csv", "tsv", "txt"), read_text)})
+    _READERS.update({**dict.fromkeys(("xlsx", "xlsm"), parse_workbooks), **dict.fromkeys(("csv", "tsv", "txt"), parse_text)})
 
 
 def register(file_type: str, reader: Reader) -> None:
-    """reader: identified files (path, content, file_type, encoding) of its type to cells."""
+    """reader: identified files (path, content, file_type, encoding) of its type to cells, with faults as rows at FAULT if it tells of any."""
     _READERS[file_type] = reader
 
 
@@ -55,8 +56,13 @@ def is_supported(path: str) -> bool:
     return kind in SUPPORTED and kind in _READERS
 
 
-def read_cells(files: DataFrame) -> DataFrame:
-    """cells of all identified files that have a reader."""
+def read_cells(files: DataFrame, max_sheets: int | None = None) -> DataFrame:
+    """cells of all identified files that have a reader, of their first max_sheets sheets."""
+    return read_all(files, max_sheets).where(F.col("r") >= 0)
+
+
+def read_all(files: DataFrame, max_sheets: int | None = None) -> DataFrame:
+    """The same with a row at FAULT for each file or sheet that could not be read whole: vtype error, the reason in val_str."""
     by_reader: dict[Reader, list[str]] = {}
     for kind, reader in _READERS.items():
         by_reader.setdefault(reader, []).append(kind)
@@ -66,7 +72,7 @@ def read_cells(files: DataFrame) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise UnsupportedFormatError("no readers are registered")
-    return out
+    return out if max_sheets is None else out.where(F.col("sheet_idx") < max_sheets)
 
 
 reset()

@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addr import is_data_range
-from ..model import CELLS
+from ..model import CELLS, FAULT
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -23,6 +24,8 @@ REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 MEDIUM = {"medium", "mediumDashed", "mediumDashDot", "mediumDashDotDot"}
 THICK = {"thick", "double"}
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+#: Cells of a merge that are listed one by one; larger merges are looked up by their bounds.
+LISTED = 10_000
 CELL_REF = re.compile(r"([A-Z]+)(\d+)")
 HINTS = "file_id string, kind string, name string, refers_to string, confidence double, headers array<string>, hidden boolean"
 NAMES = [x.split()[0] for x in CELLS.split(", ")]
@@ -133,7 +136,9 @@ class Workbook:
         root = self.xml(part)
         merges = [m.get("ref") for m in root.iter(MAIN + "mergeCell")]
         boxes = [(ref, *(x for p in ref.split(":") for m in [CELL_REF.fullmatch(p)] if m for x in (int(m[2]) - 1, _index(m[1])))) for ref in merges]
-        covered = {(r, c): b[0] for b in boxes if len(b) == 5 for r in range(b[1], b[3] + 1) for c in range(b[2], b[4] + 1) if (b[3] - b[1] + 1) * (b[4] - b[2] + 1) <= 1_000_000}
+        boxes = [b for b in boxes if len(b) == 5]
+        wide = [b for b in boxes if (b[3] - b[1] + 1) * (b[4] - b[2] + 1) > LISTED]
+        covered = {(r, c): b[0] for b in boxes if b not in wide for r in range(b[1], b[3] + 1) for c in range(b[2], b[4] + 1)}
         row = -1
         for r_ in root.iter(MAIN + "row"):
             row = int(r_.get("r")) - 1 if r_.get("r") else row + 1
@@ -145,7 +150,7 @@ class Workbook:
                 text, number, kind, formula = self.value(c_, is_date)
                 if text is None and c_.get("s") in (None, "0"):
                     continue
-                ref = covered.get((row, col))
+                ref = covered.get((row, col)) or next((b[0] for b in wide if b[1] <= row <= b[3] and b[2] <= col <= b[4]), None)
                 yield {"sheet_idx": index, "sheet_name": name, "r": row, "c": col, "val_str": text, "val_num": number, "vtype": kind, "is_merged": ref is not None, "merge_range": ref, "has_formula": formula is not None, "formula": formula, **look}
 
     def hints(self) -> Iterator[tuple]:
@@ -164,6 +169,10 @@ class Workbook:
             yield "pivot", None, None, 0.0, None, False
 
 
+#: What a damaged workbook may raise while it is read.
+FAULTS = (zipfile.BadZipFile, ET.ParseError, ValueError, KeyError, IndexError, TypeError, OverflowError, NotImplementedError, RuntimeError, OSError, EOFError, zlib.error)
+
+
 def _defaults() -> dict:
     return {"is_bold": False, "is_italic": False, "is_underline": False, "is_merged": False, "has_formula": False, "indent": 0, "vtype": "string", "sheet_idx": 0}
 
@@ -174,16 +183,21 @@ def _cells(max_sheets: int | None):
         for df in batches:
             for path, content in zip(df.path, df.content):
                 out: list[dict] = []
+                tell = lambda i, e: base | {"file_id": path, "sheet_idx": i, "r": FAULT, "c": 0, "val_str": f"{type(e).__name__}: {e}", "vtype": "error"}  # noqa: B023,E731
                 try:
                     book = Workbook(content)
-                    for i in range(len(book.sheets) if max_sheets is None else min(max_sheets, len(book.sheets))):
+                except FAULTS as e:
+                    yield pd.DataFrame([tell(-1, e)], columns=NAMES)
+                    continue
+                for i in range(len(book.sheets) if max_sheets is None else min(max_sheets, len(book.sheets))):
+                    try:  # a damaged sheet leaves the others as they are
                         for cell in book.cells(i):
                             out.append(base | {"file_id": path} | cell)
                             if len(out) >= 50_000:
                                 yield pd.DataFrame(out, columns=NAMES)
                                 out = []
-                except (zipfile.BadZipFile, ET.ParseError, ValueError, KeyError, IndexError, NotImplementedError, RuntimeError):
-                    pass
+                    except FAULTS as e:
+                        out.append(tell(i, e))
                 if out:
                     yield pd.DataFrame(out, columns=NAMES)
 
@@ -192,6 +206,11 @@ def _cells(max_sheets: int | None):
 
 def read_workbooks(files: DataFrame, max_sheets: int | None = None) -> DataFrame:
     """cells of identified workbooks."""
+    return parse_workbooks(files, max_sheets).where(F.col("r") != FAULT)
+
+
+def parse_workbooks(files: DataFrame, max_sheets: int | None = None) -> DataFrame:
+    """The same with rows at FAULT that tell of what could not be read."""
     return files.where(F.col("file_type").isin("xlsx", "xlsm")).select("path", "content").mapInPandas(_cells(max_sheets), CELLS)
 
 
