@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import addr
@@ -131,9 +131,9 @@ def file_summary(spark, sf_dir):
     return found.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_tables"), F.sum("n_cells").alias("n_cells"), F.avg(F.lit(1.0)).alias("success_rate"))
 
 
-@query(f"WITH {CELLS_SQL} SELECT file_id, r::INT AS r, string_agg(coalesce(v, ''), '|' ORDER BY c) AS vals FROM cells WHERE file_id IN ('region', 'nation') GROUP BY file_id, r")
+@query(f"WITH {CELLS_SQL} SELECT file_id, r::INT AS r, string_agg(coalesce(v, ''), '|' ORDER BY c) AS vals FROM cells GROUP BY file_id, r")
 def row_values(spark, sf_dir):
-    rows = grid.rows_of(table_sheets(spark, sf_dir).where(F.col("file_id").isin("region", "nation")))
+    rows = grid.rows_of(table_sheets(spark, sf_dir))
     return rows.select("file_id", "r", F.array_join("vals", "|", "").alias("vals"))
 
 
@@ -165,6 +165,9 @@ DATE_SQL = "(regexp_matches(x, '[-/. ]') AND regexp_matches(x, '[0-9]') AND ((le
 NUMBER_SQL = f"(regexp_matches(replace(x, ',', ''), {NUM}) OR regexp_matches(lower(replace(x, ',', '')), '^[+-]?(nan|inf|infinity)$'))"
 
 
+KIND_SQL = f"""CASE WHEN vtype = 'number' THEN 'numeric' WHEN {NUMBER_SQL} THEN 'numeric' WHEN regexp_matches(x, '[-/:]') AND length(x) >= 6 THEN 'date' WHEN lower(x) IN ('true', 'false', 'yes', 'no', 'y', 'n') THEN 'boolean' ELSE 'text' END"""
+
+
 def _tokens(spark, sf_dir):
     o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
     parts = [
@@ -270,11 +273,6 @@ def row_groups(spark, sf_dir):
     return islands.row_groups(event_grid(spark, sf_dir)).select("file_id", "r", "lo", "hi", "n", "grp")
 
 
-@query(f"WITH {EV_SQL}, d AS (SELECT DISTINCT f, r FROM ev), g AS (SELECT f, r, lag(r) OVER (PARTITION BY f ORDER BY r) AS p FROM d) SELECT f AS file_id, p + 1 AS first, r - 1 AS last FROM g WHERE r > p + 1")
-def empty_row_runs(spark, sf_dir):
-    return grid.empty_rows(event_grid(spark, sf_dir)).select("file_id", "first", "last")
-
-
 # ---- orders as bordered blocks: a sheet for each order, a row for each line, four columns
 
 
@@ -350,8 +348,6 @@ def semantic_sections(spark, sf_dir):
 
 def nation_header(spark, sf_dir):
     n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    from pyspark.sql import Window
-
     x = n.join(r, n.n_regionkey == r.r_regionkey).withColumn("c", F.row_number().over(Window.orderBy("n_regionkey", "n_nationkey")) - 1)  # 25 rows
     x = x.withColumns({"lo": F.min("c").over(Window.partitionBy("n_regionkey")), "hi": F.max("c").over(Window.partitionBy("n_regionkey"))})
     box = F.when((F.col("hi") > F.col("lo")), addr.format_range(F.lit(0), F.col("lo"), F.lit(0), F.col("hi")))
@@ -382,29 +378,78 @@ def header_hierarchy(spark, sf_dir):
 
 # ---- extraction
 
-EXTRACT_SHEETS = ("region", "nation", "supplier")
-
 
 def _tables(cells):
     return cells.groupBy(*KEY).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")).withColumn("table_id", F.lit("t"))
 
 
-@query(f"WITH {CELLS_SQL} SELECT c.file_id, (c.r - 1)::INT AS row, c.c::INT AS col, h.v AS header, c.v AS value FROM cells c JOIN cells h ON c.file_id = h.file_id AND c.c = h.c AND h.r = 0 WHERE c.r > 0 AND c.file_id IN ('region', 'nation') AND trim(c.v) <> ''")
+@query(f"WITH {CELLS_SQL} SELECT c.file_id, (c.r - 1)::INT AS row, c.c::INT AS col, h.v AS header, c.v AS value FROM cells c JOIN cells h ON c.file_id = h.file_id AND c.c = h.c AND h.r = 0 WHERE c.r > 0 AND trim(c.v) <> ''")
 def extract_frame(spark, sf_dir):
-    cells = table_sheets(spark, sf_dir).where(F.col("file_id").isin("region", "nation")).transform(keep)
+    cells = table_sheets(spark, sf_dir).transform(keep)
     return extract.extract(cells, _tables(cells)).select("file_id", "row", "col", "header", "value")
 
 
-@query(f"""WITH {CELLS_SQL}, k AS (SELECT file_id, c, CASE WHEN vtype = 'number' THEN 'numeric' ELSE 'text' END AS kind, count(*) AS n FROM cells WHERE r > 0 AND trim(v) <> '' AND file_id IN ('region', 'nation', 'supplier') GROUP BY ALL)
-SELECT file_id, c::INT AS j, kind, 1.0::DOUBLE AS share FROM k""")
+@query(f"""WITH {CELLS_SQL}, x AS (SELECT *, regexp_replace(v, '^\\s+|\\s+$', '', 'g') AS x FROM cells WHERE r > 0 AND trim(v) <> ''),
+k AS (SELECT file_id, c, {KIND_SQL} AS kind, count(*) AS n FROM x GROUP BY ALL)
+SELECT file_id, c::INT AS j, arg_max(kind, n * 10 - list_position(['numeric', 'text', 'date', 'boolean'], kind)) AS kind, max(n)::DOUBLE / sum(n) AS share FROM k GROUP BY file_id, c""")
 def column_types(spark, sf_dir):
-    cells = table_sheets(spark, sf_dir).where(F.col("file_id").isin(*EXTRACT_SHEETS))
+    cells = table_sheets(spark, sf_dir)
     return extract.column_types(extract.matrix(cells, _tables(cells))).select("file_id", "j", "kind", "share")
 
 
-@query()
+def odd_sheets(spark, sf_dir):
+    """Regions with a name down the first column, suppliers under a title and an empty row, nations under two header rows."""
+    none = F.lit(None).cast("double")
+    cell = lambda r, c, v, n, t, bold=False: F.struct(F.lit(r).cast("int").alias("r"), c.cast("int").alias("c"), v.cast("string").alias("val_str"), n.cast("double").alias("val_num"), F.lit(t).alias("vtype"), F.lit(bold).alias("is_bold"))
+    region = load(spark, sf_dir, "region")
+    least = region.agg(F.min("r_regionkey")).first()[0] or 0
+    at = F.col("r_regionkey") - least + 1
+    flat = region.select(F.inline(F.array(cell(0, at, F.col("r_regionkey"), F.col("r_regionkey"), "number"), cell(1, at, F.col("r_name"), none, "string"))))
+    one = spark.range(1)
+    flat = one.select(F.inline(F.array(cell(0, F.lit(0), F.lit("key"), none, "string"), cell(1, F.lit(0), F.lit("name"), none, "string")))).unionByName(flat)
+    supplier = table_sheets(spark, sf_dir).where("file_id = 'supplier'").select((F.col("r") + 2).alias("r"), "c", "val_str", "val_num", "vtype", "is_bold")
+    titled = supplier.unionByName(one.select(F.inline(F.array(cell(0, F.lit(0), F.lit("All suppliers"), none, "string", True)))))
+    out = flat.withColumn("file_id", F.lit("flat")).unionByName(titled.withColumn("file_id", F.lit("titled")))
+    deep = nation_header(spark, sf_dir).select("r", "c", "val_str", F.when(F.col("vtype") == "number", F.col("val_str").cast("double")).alias("val_num"), "vtype", "is_bold", F.lit("deep").alias("file_id"))
+    return complete(out.unionByName(deep).withColumn("sheet_name", F.col("file_id"))).unionByName(table_sheets(spark, sf_dir))
+
+
+ODD_SQL = f"""{CELLS_SQL}, nx AS (SELECT nation.*, r_name, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS c FROM nation JOIN region ON n_regionkey = r_regionkey
+), nb AS (SELECT *, min(c) OVER (PARTITION BY n_regionkey) AS lo FROM nx), every AS (
+  SELECT file_id, r, c, v, vtype FROM cells
+  UNION ALL SELECT 'flat', 0, r_regionkey - (SELECT min(r_regionkey) FROM region) + 1, CAST(r_regionkey AS VARCHAR), 'number' FROM region
+  UNION ALL SELECT 'flat', 1, r_regionkey - (SELECT min(r_regionkey) FROM region) + 1, r_name, 'string' FROM region
+  UNION ALL SELECT 'flat', 0, 0, 'key', 'string' UNION ALL SELECT 'flat', 1, 0, 'name', 'string'
+  UNION ALL SELECT 'titled', r + 2, c, v, vtype FROM cells WHERE file_id = 'supplier' UNION ALL SELECT 'titled', 0, 0, 'All suppliers', 'string'
+  UNION ALL SELECT 'deep', 0, c, CASE WHEN c = lo THEN r_name END, 'string' FROM nb UNION ALL SELECT 'deep', 1, c, n_name, 'string' FROM nb
+  UNION ALL SELECT 'deep', 2, c, CAST(n_nationkey AS VARCHAR), 'number' FROM nb UNION ALL SELECT 'deep', 3, c, CAST(n_regionkey AS VARCHAR), 'number' FROM nb
+), box AS (SELECT file_id, min(r) AS r0, max(r) - min(r) + 1 AS h, min(c) AS c0, max(c) - min(c) + 1 AS w FROM every GROUP BY file_id
+), m AS (SELECT file_id AS f, r - r0 AS i, c - c0 AS j, h, w, v, vtype, regexp_replace(v, '^\\s+|\\s+$', '', 'g') AS x FROM every JOIN box USING (file_id) WHERE trim(v) <> ''
+), k AS (SELECT *, {KIND_SQL} AS kind FROM m
+), rf AS (SELECT f, i, h, w, count(*) AS n, count(*) FILTER (kind = 'text') AS texts, count(DISTINCT v) AS d FROM k GROUP BY ALL
+), cand AS (SELECT b.file_id AS f, b.h, b.w, s.s, e.e FROM box b CROSS JOIN (SELECT unnest(range(10)) AS s) s CROSS JOIN (SELECT unnest(range(1, 4)) AS e) e LEFT JOIN rf ON rf.f = b.file_id AND rf.i = s.s
+  WHERE s.s < b.h - 2 AND s.s + e.e <= b.h - 2 AND (coalesce(rf.n, 0) > 2 OR b.w <= 3)
+), per AS (SELECT f, a, j, kind, count(*) AS n FROM k JOIN (SELECT unnest(range(1, 13)) AS a) q ON k.i BETWEEN a AND a + 99 GROUP BY ALL
+), types AS (SELECT f, a, avg(share) AS t FROM (SELECT f, a, j, max(n)::DOUBLE / sum(n) AS share FROM per GROUP BY f, a, j) GROUP BY f, a
+), head AS (SELECT c.f, c.s, c.e, sum(texts::DOUBLE / n) AS tx, count(*) AS n, max(CASE WHEN rf.i = s + e - 1 THEN rf.d::DOUBLE / n END) AS u, max(CASE WHEN rf.i = s THEN n::DOUBLE / rf.w END) AS cov FROM cand c JOIN rf ON rf.f = c.f AND rf.i >= s AND rf.i < s + e GROUP BY ALL
+), up AS (SELECT c.f, c.s, c.e, 0.5::DOUBLE * coalesce(t, 0) + 0.3::DOUBLE * coalesce((tx + coalesce(u, 0)) / (n + (u IS NOT NULL)::INT), 0) + 0.2::DOUBLE * coalesce(cov, 0) AS score FROM cand c LEFT JOIN types t ON t.f = c.f AND t.a = c.s + c.e LEFT JOIN head h ON h.f = c.f AND h.s = c.s AND h.e = c.e
+), ver AS (SELECT f, arg_max(s, round(score, 9) * 1e12 - s * 10 - e) AS s, arg_max(e, round(score, 9) * 1e12 - s * 10 - e) AS e, max(score) AS score FROM up GROUP BY f HAVING max(score) > 0.5
+), names AS (SELECT f, count(*) AS n, count(DISTINCT v) AS d, count(*) FILTER (NOT regexp_matches(replace(replace(v, '.', ''), '-', ''), '^[0-9]+$')) AS texts FROM m WHERE j = 0 GROUP BY f
+), one AS (SELECT f, j, (count(DISTINCT CASE WHEN vtype = 'number' OR regexp_matches(x, {NUM}) THEN 'n' ELSE 't' END) = 1)::INT AS one FROM m GROUP BY f, j
+), hor AS (SELECT b.file_id AS f, e, (coalesce(d, 0) + h - coalesce(n, 0))::DOUBLE / h * 0.3 + (coalesce(texts, 0) + h - coalesce(n, 0))::DOUBLE / h * 0.3 + (SELECT coalesce(sum(one), 0) FROM one WHERE one.f = b.file_id AND j >= e)::DOUBLE / (w - e) * 0.4 AS score
+  FROM box b CROSS JOIN (SELECT unnest(range(1, 4)) AS e) e LEFT JOIN names ON names.f = b.file_id WHERE e <= w - 2
+), best AS (SELECT f, arg_max(e, round(score, 9) * 1e12 - e) AS e, max(score) AS score FROM hor GROUP BY f
+), pick AS (SELECT b.file_id AS f, h, w, coalesce(ver.score, 0) > coalesce(best.score, 0) AS upright, CASE WHEN coalesce(ver.score, 0) > coalesce(best.score, 0) THEN ver.score ELSE coalesce(best.score, 0) END AS conf, coalesce(ver.s, 0) AS s, ver.e AS ve, best.e AS he,
+  (SELECT count(*) FROM m WHERE m.f = b.file_id)::DOUBLE / (h * w) AS density, coalesce((SELECT min(i) FROM rf WHERE rf.f = b.file_id AND rf.w > 3 AND NOT n <= 2), 0) AS first_row FROM box b LEFT JOIN ver ON ver.f = b.file_id LEFT JOIN best ON best.f = b.file_id
+), laid AS (SELECT *, conf > 0.5 AS has, CASE WHEN conf <= 0.5 THEN 0 WHEN upright THEN ve ELSE he END AS depth, CASE WHEN upright THEN least(first_row, least(10, greatest(0, h - 2))) + ve ELSE 0 END AS data_row, NOT upright AND conf > 0.5 AS flat FROM pick
+), shape AS (SELECT *, CASE WHEN flat THEN w - depth ELSE h - data_row END AS rows, CASE WHEN flat THEN h ELSE w END AS cols, (SELECT count(*) FROM m WHERE m.f = laid.f AND i >= data_row AND (NOT flat OR j >= depth)) AS filled FROM laid)"""
+
+
+@query(f"""WITH {ODD_SQL} SELECT f AS file_id, CASE WHEN upright THEN 'vertical' ELSE 'horizontal' END AS orientation, has AS has_headers, s::INT AS header_row, depth::INT AS header_depth, rows::INT AS n_rows, cols::INT AS n_cols,
+  CASE WHEN density < 0.3 THEN 'too sparse' WHEN rows < 2 THEN 'too few rows' ELSE 'success' END AS status,
+  round(CASE WHEN density < 0.3 OR rows < 2 THEN 0.0 ELSE least(1.0, 0.3 * density + CASE WHEN has THEN 0.3 * conf ELSE 0.1 END + 0.2 * least(1.0, least(rows::DOUBLE / cols, cols::DOUBLE / rows) / 0.1) + 0.2 * filled / (rows * cols)) END::DOUBLE, 6) AS quality FROM shape""")
 def extract_quality(spark, sf_dir):
-    cells = table_sheets(spark, sf_dir).transform(keep)
+    cells = odd_sheets(spark, sf_dir).transform(keep)
     return extract.analyse(cells, _tables(cells)).select("file_id", "orientation", "has_headers", "header_row", "header_depth", "n_rows", "n_cols", "status", F.round("quality", 6).alias("quality"))
 
 
@@ -437,21 +482,168 @@ def delimiter_score(spark, sf_dir):
     return d.select("doc_id", F.inline(scores))
 
 
-@query("SELECT 0 AS r0, 0 AS c0, 4 AS r1, 63 AS c1 UNION ALL SELECT 5, 0, 9, 63")
+@query("SELECT s::INT AS r0, 0 AS c0, least(s + 4, last)::INT AS r1, (w - 1)::INT AS c1 FROM (SELECT max(vec_id) AS last, max(len(embedding)) AS w FROM embeddings), (SELECT unnest(range(0, 10, 5)) AS s) WHERE w > 50 AND s <= last")
 def wide_tables(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("file_id"), F.col("vec_id").cast("int").alias("r"), F.posexplode("embedding").alias("c", "val_num"))
     cells = complete(e.withColumns({"val_num": F.col("val_num").cast("double"), "val_str": F.col("val_num").cast("string"), "vtype": F.lit("number")}))
     return structured.wide_tables(cells).select("r0", "c0", "r1", "c1")
 
 
-@query()
+# ---- several tables on a sheet, one a customer: two blocks with an empty row between, a third far off, and on even sheets a fourth beside
+
+
+def island_sheets(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("q"), F.col("o_orderkey").cast("double").alias("p"))
+    x = o.withColumns({"i": F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")), "k": F.count(F.lit(1)).over(Window.partitionBy("o_custkey"))})
+    i, k = F.col("i"), F.col("k")
+    four = lambda r, c: [F.struct((r).cast("int").alias("r"), F.lit(c + j).alias("c"), F.col("p" if j % 2 else "q").alias("v"), F.lit(None).cast("string").alias("t")) for j in range(4)]
+    name = lambda r, c, t: F.struct(r.cast("int").alias("r"), F.lit(c).alias("c"), F.lit(None).cast("double").alias("v"), F.lit(t).alias("t"))
+    heads = [name(F.lit(0), j, f"head {j}") for j in range(4)]
+    even = F.col("o_custkey") % 2 == 0
+    beside = [name(F.lit(0), 5, "side"), name(F.lit(0), 6, "note")]
+    pairs = [F.struct(i.cast("int").alias("r"), F.lit(5 + j).alias("c"), F.col("p").alias("v"), F.lit(None).cast("string").alias("t")) for j in range(2)]
+    none = F.array().cast("array<struct<r:int,c:int,v:double,t:string>>")
+    every = F.concat(F.array(*four(i, 0), *four(k + 1 + i, 0), *four(F.lit(99) + i, 50)), F.when(i == 1, F.array(*heads)).otherwise(none), F.when(even, F.array(*pairs)).otherwise(none), F.when(even & (i == 1), F.array(*beside)).otherwise(none))
+    out = x.select(F.concat(F.lit("isl-"), F.col("o_custkey").cast("string")).alias("file_id"), F.inline(every))
+    return complete(out.select("file_id", "r", "c", F.coalesce(F.col("t"), F.col("v").cast("string")).alias("val_str"), F.col("v").alias("val_num"), F.when(F.col("t").isNull(), "number").otherwise("string").alias("vtype"), F.col("t").isNotNull().alias("is_bold"), F.col("file_id").alias("sheet_name")))
+
+
+# fixed parts of the score: no borders, one type a column, no alignment, one look; with a header the body alone counts
+ISLAND_SQL = """o AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY o_custkey), even AS (SELECT *, o_custkey % 2 = 0 AS side FROM o),
+t AS (SELECT o_custkey, 4 + 8 * k + CASE WHEN side THEN 2 + 2 * k ELSE 0 END AS n, 0 AS r0, 0 AS c0, 2 * k + 1 AS r1, CASE WHEN side THEN 6 ELSE 3 END AS c1, NOT side AS head, 4 + 12 * k + CASE WHEN side THEN 2 + 2 * k ELSE 0 END AS total FROM even
+  UNION ALL SELECT o_custkey, 4 * k, 100, 50, 99 + k, 53, false, 4 + 12 * k + CASE WHEN side THEN 2 + 2 * k ELSE 0 END FROM even),
+g AS (SELECT *, n::DOUBLE / ((r1 - r0 + 1) * (c1 - c0 + 1)) AS density, n::DOUBLE / total AS share, (c1 - c0 + 1)::DOUBLE / (r1 - r0 + 1) AS aspect FROM t),
+z AS (SELECT *, CASE WHEN share >= 0.05 THEN 1.0 WHEN share >= 0.01 THEN 0.8 WHEN share >= 0.005 THEN 0.6 WHEN share < 0.001 THEN 0.2 ELSE 0.5 END AS sz, CASE WHEN r0 = 0 AND NOT head THEN (2 * (SELECT k FROM o WHERE o.o_custkey = g.o_custkey)) ELSE 0 END AS body FROM g),
+u AS (SELECT *, CASE WHEN r0 = 0 AND NOT head THEN 6 ELSE 0 END AS bold FROM z),
+y AS (SELECT *, CASE WHEN bold = 0 THEN 1.0 WHEN bold::DOUBLE / n < 0.1 THEN 0.8 ELSE 0.5 END AS plain,
+  CASE WHEN bold = 0 THEN 1.0 ELSE (4 * (2 * k2)::DOUBLE / (2 * k2 + 1) + 2 * greatest(k2, 1)::DOUBLE / (k2 + 1)) / 6 END AS types FROM (SELECT *, body // 2 AS k2 FROM u)),
+island AS (SELECT *, least(1.0, greatest(0.0, ((CASE WHEN n >= 20 THEN least(1.0, sz + 0.1) WHEN n < 4 THEN greatest(0.0, sz - 0.2) ELSE sz END) * 0.20 + (CASE WHEN density > 0.8 THEN 1.0 WHEN density > 0.6 THEN 0.7 WHEN density < 0.3 THEN 0.3 ELSE 0.5 END) * 0.15
+  + (CASE WHEN aspect BETWEEN 0.1 AND 10 THEN 0.9 WHEN aspect < 0.05 OR aspect > 20 THEN 0.2 ELSE 0.5 END) * 0.10 + CASE WHEN head THEN 0.8 ELSE 0.4 END * 0.15 + 1.0 * 0.15 + (1.0 + types + 0.7 + (1.0 + 1.0 + 0.9 + plain) / 4) / 4 * 0.15 + 0.10)::DOUBLE)) AS confidence FROM y)"""
+
+
+def _range_sql(r0="r0", c0="c0", r1="r1", c1="c1"):
+    return f"{letter(c0)} || ({r0} + 1)::VARCHAR || ':' || {letter(c1)} || ({r1} + 1)::VARCHAR"
+
+
+@query(f"WITH {ISLAND_SQL} SELECT 'isl-' || o_custkey AS file_id, n::BIGINT AS n, {_range_sql()} AS range, round(confidence, 6) AS confidence FROM island")
 def island_tables(spark, sf_dir):
-    """The whole island detector with merging over the event grid."""
-    found = islands.detect(event_grid(spark, sf_dir).transform(keep), Config())
+    """The whole island detector: components, splits at formats, rejoining over an empty row, merging, scores."""
+    found = islands.detect(island_sheets(spark, sf_dir).transform(keep), Config())
     return found.select("file_id", "n", addr.format_range(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")).alias("range"), F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+# ---- text sheets: a plate of embeddings, and below it a table that an instrument could have written
+
+
+def text_sheets(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("s"), (F.col("vec_id") % 8).cast("int").alias("i"), "embedding")
+    whole = e.groupBy("s").agg(F.count_distinct("i").alias("k")).where("k = 8").select("s")
+    e = e.join(whole, "s")
+    cell = lambda r, c, v, t: F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"), v.cast("string").alias("val_str"), F.lit(t).alias("vtype"))
+    lit = F.lit
+    row = [cell(F.col("i") + 1, lit(0), F.char(65 + F.col("i")), "string"), *[cell(F.col("i") + 1, lit(j), F.col("embedding")[j - 1], "number") for j in range(1, 13)]]
+    below = [cell(F.col("i") + 13, lit(0), F.concat(lit("id "), F.col("i").cast("string")), "string"), cell(F.col("i") + 13, lit(1), F.col("embedding")[0], "number"), cell(F.col("i") + 13, lit(2), F.col("embedding")[1], "number")]
+    top = [cell(lit(0), lit(0), lit("plate"), "string"), *[cell(lit(0), lit(j), lit(str(j)), "string") for j in range(1, 13)], *[cell(lit(12), lit(j), lit(t), "string") for j, t in enumerate(("Sample", "Mean value", "Result"))]]
+    none = F.array().cast("array<struct<r:int,c:int,val_str:string,vtype:string>>")
+    out = e.select(F.concat(lit("txt-"), F.col("s").cast("string")).alias("file_id"), F.inline(F.concat(F.array(*row, *below), F.when(F.col("i") == 0, F.array(*top)).otherwise(none))))
+    return complete(out.withColumns({"val_num": F.when(F.col("vtype") == "number", F.col("val_str").cast("double")), "sheet_name": F.col("file_id")}))
+
+
+# the lower table: 27 of 144 cells, 9 x 3, a header, text and numbers each in a column of its own
+TEXT_SQL = """s AS (SELECT vec_id // 8 AS s FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id % 8) = 8),
+text AS (SELECT 'txt-' || s AS file_id, 'plate_96well_0_0' AS table_id, 'plate_format_detection' AS method, 0.95::DOUBLE AS confidence, false AS instrument_output, 0 AS r0, 0 AS c0, 8 AS r1, 12 AS c1, 117 AS n FROM s
+  UNION ALL SELECT 'txt-' || s, 'structured_12_0', 'structured_text_detection', 1.0 * 0.20 + 1.0 * 0.15 + 0.9 * 0.10 + 0.8 * 0.15 + 1.0 * 0.15 + (1.0 + 1.0 + 0.7 + (1.0 + 1.0 + 0.9 + 1.0) / 4) / 4 * 0.15 + 0.10, true, 12, 0, 20, 2, 27 FROM s)"""
+
+
+@query(f"WITH {TEXT_SQL} SELECT file_id, table_id, method, round(confidence, 6)::DOUBLE AS confidence, instrument_output FROM text")
 def structured_tables(spark, sf_dir):
-    found = structured.detect(event_grid(spark, sf_dir).transform(keep))
+    found = structured.detect(text_sheets(spark, sf_dir).transform(keep))
     return found.select("file_id", "table_id", "method", F.round("confidence", 6).alias("confidence"), "instrument_output")
+
+
+# ---- accounts: a sheet a region, a section a nation with its suppliers, a subtotal and an empty row, at the end a total
+
+
+def account_sheets(spark, sf_dir):
+    n, sup = load(spark, sf_dir, "nation"), load(spark, sf_dir, "supplier")
+    own = sup.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("k"))
+    x = n.join(own, "n_nationkey", "left").fillna({"k": 0})
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    x = x.withColumn("at", (F.sum(F.col("k") + 3).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k") - 2)).select("n_nationkey", "n_name", "n_regionkey", "k", "at")
+    cell = lambda r, c, v, t, bold, bg=None: F.struct(r.cast("int").alias("r"), F.lit(c).alias("c"), v.cast("string").alias("val_str"), F.lit(t).alias("vtype"), F.lit(bold).alias("is_bold"), F.lit(bg).cast("string").alias("bg_color"))
+    region = F.col("n_regionkey").alias("region")
+    per = x.select(region, F.inline(F.array(cell(F.col("at"), 0, F.col("n_name"), "string", True, "#DDDDDD"), cell(F.col("at") + F.col("k") + 1, 0, F.concat(F.lit("Total "), F.col("n_name")), "string", True), cell(F.col("at") + F.col("k") + 1, 1, F.col("k"), "number", True))))
+    i = F.row_number().over(Window.partitionBy("n_nationkey").orderBy("s_suppkey"))
+    data = sup.withColumnRenamed("s_nationkey", "n_nationkey").join(x, "n_nationkey").withColumn("i", i)
+    rows = data.select(region, F.inline(F.array(cell(F.col("at") + F.col("i"), 0, F.col("s_name"), "string", False), cell(F.col("at") + F.col("i"), 1, F.col("s_acctbal"), "number", False))))
+    ends = x.groupBy(region).agg(F.max(F.col("at") + F.col("k") + 3).alias("end"), F.sum("k").alias("k"))
+    frame = ends.select("region", F.inline(F.array(cell(F.lit(0), 0, F.lit("Account"), "string", True), cell(F.lit(0), 1, F.lit("Balance"), "string", True), cell(F.col("end"), 0, F.lit("Grand total"), "string", True), cell(F.col("end"), 1, F.col("k"), "number", True))))
+    out = per.unionByName(rows).unionByName(frame)
+    return complete(out.withColumns({"file_id": F.col("region").cast("string"), "sheet_name": F.col("region").cast("string"), "val_num": F.when(F.col("vtype") == "number", F.col("val_str").cast("double"))}))
+
+
+ACCOUNT_SQL = """n AS (SELECT n_nationkey, n_name, n_regionkey, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS k FROM nation),
+a AS (SELECT *, (sum(k + 3) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - k - 2)::BIGINT AS pos FROM n),
+kinds AS (SELECT n_regionkey AS f, 0 AS i, 'HEADER' AS kind FROM n GROUP BY 1 UNION ALL SELECT n_regionkey, pos, 'SECTION_HEADER' FROM a UNION ALL SELECT n_regionkey, unnest(range(pos + 1, pos + k + 1)), 'DATA' FROM a
+  UNION ALL SELECT n_regionkey, pos + k + 1, 'SUBTOTAL' FROM a UNION ALL SELECT n_regionkey, pos + k + 2, 'BLANK' FROM a UNION ALL SELECT n_regionkey, max(pos + k + 3), 'TOTAL' FROM a GROUP BY 1)"""
+
+
+def _account_rows(spark, sf_dir):
+    cells = account_sheets(spark, sf_dir).transform(keep)
+    return cells, _tables(cells), semantic.rows(cells, _tables(cells), header_rows=1).transform(keep)
+
+
+@query(f"WITH {ACCOUNT_SQL} SELECT CAST(f AS VARCHAR) AS file_id, i::INT AS i, kind FROM kinds")
+def account_rows(spark, sf_dir):
+    return _account_rows(spark, sf_dir)[2].select("file_id", "i", "kind")
+
+
+@query(f"WITH {ACCOUNT_SQL} SELECT CAST(n_regionkey AS VARCHAR) AS file_id, pos::INT AS first, (pos + k + 1)::INT AS last FROM a")
+def semantic_sections(spark, sf_dir):
+    return semantic.sections(_account_rows(spark, sf_dir)[2]).select("file_id", "first", "last")
+
+
+@query(f"WITH {ACCOUNT_SQL} SELECT CAST(f AS VARCHAR) AS file_id, bool_or(kind = 'SUBTOTAL') AS has_subtotals, bool_or(kind = 'TOTAL') AS has_grand_total FROM kinds GROUP BY f")
+def account_flags(spark, sf_dir):
+    return semantic.flags(_account_rows(spark, sf_dir)[2]).select("file_id", "has_subtotals", "has_grand_total")
+
+
+@query(f"WITH {ACCOUNT_SQL} SELECT CAST(n_regionkey AS VARCHAR) AS file_id, (pos + k + 2)::INT AS i, count(*)::BIGINT AS reasons FROM (SELECT n_regionkey, pos, k FROM a UNION ALL SELECT n_regionkey, pos, k FROM a) GROUP BY ALL")
+def account_blanks(spark, sf_dir):
+    """Each empty row ends a section and lies beside a subtotal: two reasons."""
+    s = _account_rows(spark, sf_dir)[2]
+    return semantic.semantic_blanks(s, semantic.sections(s)).groupBy("file_id", "i").agg(F.count(F.lit(1)).alias("reasons"))
+
+
+@query(f"WITH {EV_SQL}, s AS (SELECT f, r, c, v FROM ev WHERE (r + c) % 5 < 2), b AS (SELECT f, min(r) AS lo, max(r) AS hi FROM s WHERE r % 7 < 4 GROUP BY f), d AS (SELECT DISTINCT f, r FROM s WHERE r % 7 < 4), g AS (SELECT f, r, lag(r) OVER (PARTITION BY f ORDER BY r) AS p FROM d) SELECT f AS file_id, p + 1 AS first, r - 1 AS last FROM g WHERE r > p + 1")
+def empty_row_runs(spark, sf_dir):
+    """Rows that are left out of the event grid, three of seven."""
+    return grid.empty_rows(event_grid(spark, sf_dir).where("(r + c) % 5 < 2 and r % 7 < 4")).select("file_id", "first", "last")
+
+
+@query(f"WITH {EV_SQL}, d AS (SELECT DISTINCT f, c FROM ev WHERE c % 6 < 4), g AS (SELECT f, c, lag(c) OVER (PARTITION BY f ORDER BY c) AS p FROM d) SELECT f AS file_id, p + 1 AS first, c - 1 AS last FROM g WHERE c > p + 1")
+def empty_column_runs(spark, sf_dir):
+    return grid.empty_columns(event_grid(spark, sf_dir).where("c % 6 < 4")).select("file_id", "first", "last")
+
+
+# ---- the cascade with a sheet for each of its branches
+
+
+BRANCH = 0.89  # above what an island without a header gets, so that weaker single tables are reached
+
+
+@query(f"""WITH {ISLAND_SQL}, {TEXT_SQL}, {BLOCK_SQL}, plain AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY o_custkey)
+SELECT 'isl-' || o_custkey AS file_id, {_range_sql()} AS range, 'island_detection' AS method, round(confidence, 6) AS confidence FROM island WHERE confidence >= {BRANCH}
+UNION ALL SELECT file_id, {_range_sql()}, method, round(confidence, 6)::DOUBLE FROM text
+UNION ALL SELECT 'box-' || l_orderkey, 'A' || (lo + 1)::VARCHAR || ':D' || (hi + 1)::VARCHAR, 'box_table', 0.95::DOUBLE FROM b WHERE hi > lo AND n = hi - lo + 1
+UNION ALL SELECT 'one-' || o_custkey, 'A1:C' || k::VARCHAR, 'simple_case', 0.9::DOUBLE FROM plain WHERE k >= 3""")
+def cascade_branches(spark, sf_dir):
+    boxed = order_blocks(spark, sf_dir).withColumn("file_id", F.concat(F.lit("box-"), "file_id"))
+    o = load(spark, sf_dir, "orders")
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    plain = o.withColumn("r", r.cast("int")).select(F.concat(F.lit("one-"), F.col("o_custkey").cast("string")).alias("file_id"), "r", F.posexplode(F.array(F.col("o_orderkey").cast("double"), F.col("o_totalprice").cast("double"), F.col("o_orderkey").cast("double"))).alias("c", "val_num"))
+    plain = complete(plain.withColumns({"val_str": F.col("val_num").cast("string"), "vtype": F.lit("number"), "sheet_name": F.col("file_id")}))
+    cells = island_sheets(spark, sf_dir).unionByName(text_sheets(spark, sf_dir)).unionByName(boxed).unionByName(plain).transform(keep)
+    sheets = cells.select(*KEY).distinct().withColumn("file_type", F.when(F.col("file_id").startswith("txt-"), "tsv").otherwise("xlsx"))
+    found = detect_tables(cells, sheets, Config(confidence_threshold=BRANCH))
+    return found.select("file_id", addr.format_range(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")).alias("range"), "method", F.round("confidence", 6).alias("confidence"))
