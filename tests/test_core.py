@@ -38,6 +38,8 @@ def test_addresses(spark):
     got = [r[0] for r in df.orderBy("c").select(addr.column_letter(F.col("c"))).collect()]
     assert got == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
     assert [r[0] for r in df.orderBy("c").select(addr.column_index(addr.column_letter(F.col("c")))).collect()] == [0, 25, 26, 701, 702, 16383]
+    far = spark.createDataFrame([(18277,), (18278,), (475253,), (475254,), (2147483647,)], "c int").select("c", addr.column_letter(F.col("c")).alias("a"), addr.column_index(addr.column_letter(F.col("c"))).alias("i")).orderBy("c").collect()
+    assert [r.a for r in far[:4]] == ["ZZZ", "AAAA", "ZZZZ", "AAAAA"] and all(r.i == r.c for r in far)
     refs = spark.createDataFrame([("Sheet!$A$1:B2",), ("A1",), ("1A:B2",), (None,)], "x string").select(addr.parse_range(F.col("x")).alias("p")).collect()
     assert [tuple(r.p) if r.p else None for r in refs] == [(0, 0, 1, 1), None, None, None]
 
@@ -85,6 +87,66 @@ def test_boxes(spark):
     assert ranges(boxes.detect(grid_of(spark, {"b": cells}))) == ["B2:D5"]
 
 
+def test_gridded_sheets_are_linear(spark):
+    t = "thin"
+    full = {(r, c): (1 if r < 30 else None, {"border": [t] * 4}) for r in range(40) for c in range(30)}  # every cell is a corner
+    hollow = {(r, c): (None, {"border": [t] * 4}) for r in range(20) for c in range(20)}
+    over = {(r, c): (r, {"border": [t if r in (0, 6) else None, t if r in (5, 9) else None, t if c in (0, 4) else None, t if c in (3, 7) else None]}) for r in range(10) for c in range(8)}
+    gap = {(r, c): (r, {"border": [t if r == 0 else None, t if r == 5 and c != 2 else None, t if c == 0 else None, t if c == 4 else None]}) for r in range(6) for c in range(5)}
+    cells = grid_of(spark, {"full": full, "hollow": hollow, "over": over, "gap": gap})
+    found = boxes.detect(cells)
+    by = {n: ranges(found.where(F.col("file_id") == n)) for n in ("full", "hollow", "over", "gap")}
+    assert by == {"full": ["A1:AD40"], "hollow": [], "over": ["A1:H10"], "gap": []}
+
+
+def test_boxes_are_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    sheets = {}
+    for n in range(12):
+        cells = {(r, c): [rng.choice([None, 1, 1]), [None] * 4] for r in range(12) for c in range(12)}
+        for _ in range(6):  # boxes drawn over one another
+            r0, c0 = rng.randrange(9), rng.randrange(9)
+            r1, c1 = rng.randrange(r0 + 1, 12), rng.randrange(c0 + 1, 12)
+            for r in range(r0, r1 + 1):
+                for c in range(c0, c1 + 1):
+                    own = cells[r, c][1]
+                    for k, on in enumerate((r == r0, r == r1, c == c0, c == c1)):
+                        own[k] = "thin" if on else own[k]
+        sheets[f"s{n}"] = {at: (v, {"border": b}) for at, (v, b) in cells.items() if v is not None or any(b)}
+    want = {}
+    for name, cells in sheets.items():
+        has = lambda r, c, k: (r, c) in cells and cells[r, c][1]["border"][k] is not None  # noqa: B023,E731
+        taken, found = [], []
+        for r in range(12):
+            for c in range(12):
+                if not (has(r, c, 0) and has(r, c, 2)) or any(a <= r <= d and b <= c <= e for a, b, d, e in taken):
+                    continue
+                c1, r1 = c, r
+                while has(r, c1 + 1, 0):
+                    c1 += 1
+                while has(r1 + 1, c, 2):
+                    r1 += 1
+                inside = [(i, j) for i in range(r, r1 + 1) for j in range(c, c1 + 1)]
+                whole = all(has(r1, j, 1) for j in range(c, c1 + 1)) and all(has(i, c1, 3) for i in range(r, r1 + 1))
+                if r1 > r and c1 > c and whole and sum(p in cells and cells[p][0] is not None for p in inside) >= 0.3 * len(inside):
+                    taken.append((r, c, r1, c1))
+        want[name] = sorted(taken)
+    got = {n: [] for n in sheets}
+    for x in boxes.detect(grid_of(spark, sheets)).collect():
+        got[x.file_id].append((x.r0, x.c0, x.r1, x.c1))
+    assert {n: sorted(v) for n, v in got.items()} == want and sum(map(len, want.values())) > 5
+
+
+def test_large_sheets_are_labelled_alike(spark, monkeypatch):
+    cells = grid_of(spark, {"a": {(r, c): 1 for r in range(30) for c in range(20) if (r * 7 + c * 3) % 5 < 2}, "b": block([["x"] * 3] * 3)})
+    rows = lambda: sorted(map(tuple, islands.components(cells).select("file_id", "r", "c0", "ir", "ic").collect()))
+    small = rows()
+    monkeypatch.setattr(islands, "TASK_RUNS", 20)
+    assert rows() == small
+
+
 def test_islands(spark):
     three = block([["a", "b", "c"]] * 3) | block([["a", "b", "c"]] * 3, 4, 4) | block([["a", "b"]] * 3, 9)
     near = block([["a", "b"]] * 3) | block([["d", "e"]] * 3, 0, 3)

@@ -89,6 +89,60 @@ def test_detect_files(spark, folder):
     assert not [n for n, _ in got if n in ("broken.xlsx", "empty.csv")]
 
 
+def test_faults_are_rows(spark, tmp_path):
+    good = workbook([["Item", "Q1"], ["a", 1], ["b", 2]])
+    (tmp_path / "good.xlsx").write_bytes(good)
+    (tmp_path / "big.csv").write_text("a,b\n" + "1,2\n" * 400_000)
+    damaged = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(good)) as z, zipfile.ZipFile(damaged, "w") as out:
+        for n in z.namelist():
+            if n == "xl/workbook.xml":
+                body = z.read(n).replace(b"</sheets>", b'<sheet name="Second" sheetId="2" r:id="rId2"/></sheets>')
+            elif n.endswith("workbook.xml.rels"):
+                body = z.read(n).replace(b"</Relationships>", b'<Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+            else:
+                body = z.read(n)
+            out.writestr(n, body)
+        out.writestr("xl/worksheets/sheet2.xml", "<worksheet><sheetData><row></worksheet>")
+    (tmp_path / "hurt.xlsx").write_bytes(damaged.getvalue())
+    read = api.read_folder(spark, str(tmp_path), Config(max_file_size_mb=1))
+    name = lambda p: p.rsplit("/", 1)[-1]
+    errors = {(name(r.file_id), r.sheet_idx): r.error for r in read.errors.collect()}
+    assert set(errors) == {("big.csv", -1), ("hurt.xlsx", 1)} and errors["big.csv", -1] == "file too large" and errors["hurt.xlsx", 1].startswith("ParseError")
+    assert {(name(r.file_id), r.sheet_idx) for r in read.sheets.collect()} == {("good.xlsx", 0), ("hurt.xlsx", 0)}
+    only = api.read_folder(spark, str(tmp_path), Config(max_file_size_mb=1, max_sheets=1))
+    assert {(name(r.file_id), r.sheet_idx) for r in only.errors.collect()} == {("big.csv", -1)}
+
+
+def test_large_merges(spark, tmp_path):
+    (tmp_path / "m.xlsx").write_bytes(workbook([["Item", "Q1"], ["a", 1], ["b", 2]], merge='<mergeCells count="2"><mergeCell ref="A1:A1048576"/><mergeCell ref="B2:B3"/></mergeCells>'))
+    cells = xlsx.read_workbooks(identify.identify(identify.read_files(spark, str(tmp_path))))
+    assert {(r.r, r.c): r.merge_range for r in cells.collect()} == {(i, 0): "A1:A1048576" for i in range(3)} | {(0, 1): None, (1, 1): "B2:B3", (2, 1): "B2:B3"}
+
+
+def test_text_faults(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "rows_of", lambda *a: iter([["a", "b"]] * 5))
+    out = list(text._parse(iter([text.pd.DataFrame([("d/x.csv", b"", "csv", None)], columns=["path", "content", "file_type", "encoding"])])))
+    assert [len(x) for x in out] == [10]
+    monkeypatch.setattr(text, "MAX_ROWS", 2)
+    out = list(text._parse(iter([text.pd.DataFrame([("d/x.csv", b"", "csv", None)], columns=["path", "content", "file_type", "encoding"])])))
+    assert out[0].r.tolist() == [0, 0, 1, 1, 2, 2, -1]
+
+
+def test_results_and_summary(spark, folder, tmp_path):
+    results, long = api.extraction_results(spark, folder, Config())
+    got = {(r.file_id.rsplit("/", 1)[-1], r.range): r for r in results.collect()}
+    people = got["people.csv", "A1:C4"]
+    assert people.orientation == "vertical" and people.columns == ["Name", "Age", "City"] and people.status == "success" and people.n_rows == 3
+    out = str(tmp_path / "tables")
+    api.write_tables(long, out)
+    back = spark.read.option("header", True).csv(out)
+    assert {r.value for r in back.where("header = 'Name'").collect()} >= {"Alice", "Bob", "Eve"}
+    files = api.identify(spark, folder, Config())
+    s = {r.file_id.rsplit("/", 1)[-1]: r for r in api.summary(files, api.detect_tables(spark, folder, Config())).collect()}
+    assert s["people.csv"].n_tables == 1 and s["people.csv"].success_rate == 1.0 and s["broken.xlsx"].n_tables == 0
+
+
 def test_registry():
     assert registry.is_supported("x/y.CSV") and not registry.is_supported("x/y.pdf")
     with pytest.raises(registry.UnsupportedFormatError):
