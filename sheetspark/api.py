@@ -20,7 +20,7 @@ from .store import keep
 def identify(spark: SparkSession, path, config: Config = Config(), **options) -> DataFrame:
     """Files under a path, or a list of paths, with what they are; the rows of one file have its error where it has one."""
     files = ident.identify(ident.read_files(spark, path, max_mb=config.max_file_size_mb, **options))
-    error = F.when(F.col("length") > int(config.max_file_size_mb * 1024 * 1024), "file too large").when(F.col("length") == 0, "empty file").when(ident.encrypted(F.col("content")), "password protected").when(~F.col("is_supported"), F.concat(F.lit("unsupported type "), "file_type")).when(F.col("file_type") == "xls", "legacy workbooks have no reader")
+    error = F.when(F.col("length") > int(config.max_file_size_mb * 1024 * 1024), "file too large").when(F.col("length") == 0, "empty file").when(ident.encrypted(F.col("content")), "password protected").when(~F.col("is_supported"), F.concat(F.lit("unsupported type "), "file_type"))
     return files.withColumn("error", error)
 
 

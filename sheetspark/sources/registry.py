@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .identify import EXTENSIONS, SUPPORTED
 from .text import parse_text
+from .xls import parse_xls
 from .xlsx import parse_workbooks
 
 Reader = Callable[[DataFrame], DataFrame]
@@ -21,7 +22,7 @@ class UnsupportedFormatError(ValueError):
 
 def reset() -> None:
     _READERS.clear()
-    _READERS.update({**dict.fromkeys(("xlsx", "xlsm"), parse_workbooks), **dict.fromkeys(("csv", "tsv", "txt"), parse_text)})
+    _READERS.update({"xls": parse_xls, **dict.fromkeys(("xlsx", "xlsm"), parse_workbooks), **dict.fromkeys(("csv", "tsv", "txt"), parse_text)})
 
 
 def register(file_type: str, reader: Reader) -> None:

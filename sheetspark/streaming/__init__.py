@@ -11,13 +11,13 @@ from ..sources.identify import identify
 from ..sources.registry import read_cells
 
 
-def detect_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, config: Config = Config(), pattern: str = "*.{xlsx,xlsm,csv,tsv,txt}", **trigger) -> StreamingQuery:
+def detect_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, config: Config = Config(), pattern: str = "*.{xlsx,xlsm,xls,csv,tsv,txt}", **trigger) -> StreamingQuery:
     """Each new file's tables are written to out as Parquet, once: every batch writes a folder of its own number."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
     def write(batch, number: int) -> None:
-        known = identify(batch.select("path", "length", "content")).where("is_supported and file_type <> 'xls'")
+        known = identify(batch.select("path", "length", "content")).where("is_supported")
         cells = read_cells(known)
         sheets = cells.select(*KEY).distinct().join(known.selectExpr("path as file_id", "file_type"), "file_id")
         detect_tables(cells, sheets, config).write.mode("overwrite").parquet(f"{out}/batch={number}")
