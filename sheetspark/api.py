@@ -12,14 +12,16 @@ from .model import FAULT, KEY, Config
 from .operators import extract
 from .plans.cascade import detect_tables as detect_cells
 from .sources import identify as ident
-from .sources.registry import read_all
+from .sources.registry import UnsupportedFormatError, read_all
 from .sources.xlsx import sheets_of
 from .store import keep
 
 
 def identify(spark: SparkSession, path, config: Config = Config(), **options) -> DataFrame:
     """Files under a path, or a list of paths, with what they are; the rows of one file have its error where it has one."""
-    files = ident.identify(ident.read_files(spark, path, max_mb=config.max_file_size_mb, **options))
+    files = ident.identify(ident.read_files(spark, path, max_mb=config.max_file_size_mb, **options), config.file_detection_buffer_size)
+    if config.strict_format_checking and (bad := files.where(~F.col("is_supported") & F.col("content").isNotNull()).select("path", "file_type").first()):
+        raise UnsupportedFormatError(f"{bad.path}: {bad.file_type} is not supported")
     error = F.when(F.col("length") > int(config.max_file_size_mb * 1024 * 1024), "file too large").when(F.col("length") == 0, "empty file").when(ident.encrypted(F.col("content")), "password protected").when(~F.col("is_supported"), F.concat(F.lit("unsupported type "), "file_type"))
     return files.withColumn("error", error)
 
@@ -78,6 +80,15 @@ def summary(files: DataFrame, tables: DataFrame) -> DataFrame:
     return out.select("file_id", "file_type", "confidence", "method", "format_mismatch", "encoding", F.coalesce("error", "sheet_error").alias("error"), F.coalesce("n_tables", F.lit(0)).alias("n_tables"), F.when(F.coalesce("error", "sheet_error").isNull(), 1.0).otherwise(0.0).alias("success_rate"))
 
 
+def report(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """Per sheet: method used (none without tables), stored cells, density, number of tables, of them large, medium and small, ranges with confidence in order."""
+    size = cells.groupBy(*KEY).agg(F.count(F.lit(1)).alias("sheet_cells"), ((F.max("r") + 1) * (F.max("c") + 1).cast("long")).alias("cell_count"))
+    shown = F.format_string("%s %.2f%% %s", format_range(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")), 100 * F.col("confidence"), F.col("method"))
+    n = tables.groupBy(*KEY).agg(F.min_by("method", "seq").alias("method_used"), F.count(F.lit(1)).alias("table_count"), *[F.count_if(F.col("size_class") == x).alias(f"{x}_tables") for x in ("large", "medium", "small")], F.sort_array(F.collect_list(F.struct("seq", shown.alias("t")))).alias("x"))
+    out = size.join(n.withColumn("tables", F.transform("x", lambda t: t["t"])).drop("x"), KEY, "left").fillna({"method_used": "none", "table_count": 0, "large_tables": 0, "medium_tables": 0, "small_tables": 0})
+    return out.withColumn("sheet_density", F.col("sheet_cells") / F.col("cell_count"))
+
+
 def write_tables(long: DataFrame, path: str) -> None:
     """Extracted tables as CSV, a folder for each file, sheet and table."""
     long.write.mode("overwrite").partitionBy("file_id", "sheet_idx", "table_id").option("header", True).csv(path)

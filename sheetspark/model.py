@@ -48,6 +48,10 @@ class Config:
     max_tables_per_sheet: int | None = None
     min_table_size: tuple[int, int] | None = None
     max_sheets: int | None = None
+    file_detection_buffer_size: int = 8192
+    strict_format_checking: bool = False
+    column_gap_prevents_merge: bool = False
+    min_column_overlap_for_merge: float = 0.5
     enable_simple: bool = True
     enable_boxes: bool = True
     enable_islands: bool = True
@@ -57,6 +61,8 @@ class Config:
             raise ValueError(f"confidence_threshold must be in [0, 1], got {self.confidence_threshold}")
         if not 0 <= self.empty_row_tolerance <= 5:
             raise ValueError(f"empty_row_tolerance must be in 0..5, got {self.empty_row_tolerance}")
+        if self.file_detection_buffer_size < 512 or not 0 <= self.min_column_overlap_for_merge <= 1:
+            raise ValueError("file_detection_buffer_size must be 512 or more and min_column_overlap_for_merge in [0, 1]")
         if self.max_gap < 0 or self.min_island_size < 1:
             raise ValueError("max_gap must not be negative and min_island_size must be positive")
 

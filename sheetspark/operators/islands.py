@@ -271,7 +271,7 @@ def _absorb(items: list, test) -> list:
     return out
 
 
-def _merge_sheet(tolerance: int):
+def _merge_sheet(tolerance: int, overlap: float = 0.5, column_gap_prevents: bool = False):
     def merge(parts: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         parts = parts.assign(big=-parts.whole).sort_values(["big", "ir", "ic", "part"], kind="stable").reset_index(drop=True)
         row, lo, hi = (runs[x].to_numpy() for x in ("r", "c0", "c1"))
@@ -299,7 +299,7 @@ def _merge_sheet(tolerance: int):
             density = first.total / ((first.max_row + 1) * (first.max_col + 1))
             distance = 0 if apart else 1 if split else 5 if density < 0.3 else 3 if density < 0.6 else 2
             if distance:
-                items = _absorb(items, lambda own, grown, b: mergeable(own, b, distance) and not ((g := _gap(grown, b)) and cells_in(g)))
+                items = _absorb(items, lambda own, grown, b: mergeable(own, b, distance, overlap, column_gap_prevents) and not ((g := _gap(grown, b)) and cells_in(g)))
         final = np.zeros(len(parts), int)
         for k, (_, members) in enumerate(items):
             final[members] = k
@@ -321,7 +321,7 @@ def detect(cells: DataFrame, config: Config = Config()) -> DataFrame:
     facts = runs.select(*KEY, *ISLAND, "whole", "total", "max_row", "max_col").distinct()
     parts = extents(cut, [*ISLAND, "part"]).join(facts, [*KEY, *ISLAND]).transform(keep)
     every = row_runs(cells, 1)
-    merged = parts.groupBy(*KEY).cogroup(every.groupBy(*KEY)).applyInPandas(_guard(_merge_sheet(config.empty_row_tolerance)), "file_id string, sheet_idx int, ir int, ic int, part int, seq int")
+    merged = parts.groupBy(*KEY).cogroup(every.groupBy(*KEY)).applyInPandas(_guard(_merge_sheet(config.empty_row_tolerance, config.min_column_overlap_for_merge, config.column_gap_prevents_merge)), "file_id string, sheet_idx int, ir int, ic int, part int, seq int")
     whole = parts.join(merged, [*KEY, *ISLAND, "part"]).groupBy(*KEY, "seq").agg(F.sum("n").alias("n"), F.min("r0").alias("r0"), F.min("c0").alias("c0"), F.max("r1").alias("r1"), F.max("c1").alias("c1"))
     return score(cells, whole, ["seq"])
 

@@ -95,10 +95,16 @@ def flags(semantic: DataFrame) -> DataFrame:
     return semantic.groupBy(*TABLE).agg(F.max((F.col("kind") == "SUBTOTAL").cast("int")).cast("boolean").alias("has_subtotals"), F.max((F.col("kind") == "TOTAL").cast("int")).cast("boolean").alias("has_grand_total"))
 
 
+def signatures(cells: DataFrame) -> DataFrame:
+    """Per cell the format that likeness is judged by. Borders are no part of a cell's own signature: both are false."""
+    ground = F.coalesce(F.col("bg_color") != "", F.lit(False))
+    return cells.select(*KEY, "r", "c", F.col("is_bold").alias("bold"), F.col("is_italic").alias("italic"), ground.alias("ground"), F.lit(False).alias("top"), F.lit(False).alias("bottom"), F.col("bg_color").alias("color"), F.col("font_size").alias("size"), F.col("halign").alias("align"), "indent")
+
+
 def format_likeness(a: str = "a_", b: str = "b_") -> Column:
-    """Likeness of two format signatures: five switches, colour where both have one, half weight for indent."""
+    """Likeness of two signatures, by prefix of their columns: five switches, colour where both have one, half weight for indent."""
     x, y = (lambda n: F.col(a + n)), (lambda n: F.col(b + n))
-    same = sum([(x(n) == y(n)).cast("double") for n in ("bold", "italic", "underline", "borders", "aligned")][1:], (x("bold") == y("bold")).cast("double"))
-    colours = x("color").isNotNull() & y("color").isNotNull()
-    got = same + F.when(colours & (x("color") == y("color")), 1.0).otherwise(0.0) + F.when(x("indent") == y("indent"), 0.5).otherwise(0.0)
+    same = sum([(x(n) == y(n)).cast("double") for n in ("italic", "ground", "top", "bottom")], (x("bold") == y("bold")).cast("double"))
+    colours = x("ground") & y("ground")
+    got = same + F.when(colours & x("color").eqNullSafe(y("color")), 1.0).otherwise(0.0) + F.when(x("indent") == y("indent"), 0.5).otherwise(0.0)
     return got / (5.5 + F.when(colours, 1.0).otherwise(0.0))

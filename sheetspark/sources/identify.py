@@ -17,6 +17,16 @@ SUPPORTED = ("xlsx", "xls", "xlsm", "csv", "tsv", "txt")
 DELIMITERS = ("\t", ",", ";", "|", " ")
 #: Members that a workbook archive has.
 WORKBOOK_MEMBERS = ("xl/workbook.xml", "xl/sharedStrings.xml", "xl/styles.xml", "[Content_Types].xml", "_rels/.rels")
+# Media types of the file types.
+MIME_TYPES = {
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "xlsm": "application/vnd.ms-excel.sheet.macroEnabled.12",
+    "xlsb": "application/vnd.ms-excel.sheet.binary.macroEnabled.12",
+    "xls": "application/vnd.ms-excel",
+    "csv": "text/csv",
+    "tsv": "text/tab-separated-values",
+    "txt": "text/plain",
+}
 #: Detectors by name for libraries that may be at hand: (path, bytes) columns to a struct(file_type, confidence), tried first.
 PLUGINS: dict = {}
 
@@ -168,13 +178,13 @@ def encoding(content: Column) -> Column:
 # ---- the vote
 
 
-def identify(files: DataFrame) -> DataFrame:
-    """files (path, content, length) with file_type, confidence, method, extension_type, format_mismatch, encoding of text types."""
+def identify(files: DataFrame, buffer: int = BUFFER) -> DataFrame:
+    """files (path, content, length) with file_type, confidence, method, mime_type, extension_type, format_mismatch, encoding of text types. Texts are judged by their first buffer bytes."""
     c = F.col("content")
     ext = by_extension(F.col("path"))
     f = files.withColumns({"_magic": magic(c), "extension_type": ext})
     f = f.withColumn("_members", F.when(F.col("_magic") == "zip", zip_members(F.when(F.col("_magic") == "zip", c))))
-    text = latin(c)
+    text = latin(c, buffer)
     byte = F.when(F.col("_magic") == "ole", F.struct(F.lit("xls").alias("file_type"), F.lit(0.9).alias("confidence"))).when(F.col("_magic") == "zip", by_zip(F.col("_members"))).when(F.col("_magic").isNotNull(), F.struct(F.lit("unknown").alias("file_type"), F.lit(0.9).alias("confidence")))
     methods = [(name, make(F.col("path"), c)) for name, make in PLUGINS.items()]
     methods += [("magic_bytes", byte), ("content", F.when(F.col("_magic").isNull() & is_likely_text(text), by_text(text)))]
@@ -183,6 +193,10 @@ def identify(files: DataFrame) -> DataFrame:
     best = F.array_max(F.filter(votes, lambda v: v["confidence"].isNotNull()))
     f = f.withColumn("_b", best).withColumns({"file_type": F.col("_b")["file_type"], "confidence": F.col("_b")["confidence"], "method": F.col("_b")["method"]})
     f = f.withColumns({"format_mismatch": F.col("file_type") != F.col("extension_type"), "is_supported": F.col("file_type").isin(*SUPPORTED), "magic_hex": F.lower(F.hex(F.substring(c, 1, 16)))})
+    found = F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv])
+    raw = F.when(F.col("_magic").isin("zip", "ole"), found[F.when(F.col("_magic") == "ole", "xls").otherwise(F.col("file_type"))]).when(F.col("_magic") == "pdf", "application/pdf").when(F.col("_magic") == "png", "image/png")
+    plain = F.when(is_likely_text(text), F.when(F.col("file_type").isin("csv", "tsv"), found[F.col("file_type")]).otherwise("text/plain"))
+    f = f.withColumn("mime_type", F.coalesce(raw, F.when(F.col("_magic") == "zip", "application/zip"), plain, F.when(c.isNotNull(), "application/octet-stream")))
     return f.withColumn("encoding", F.when(F.col("file_type").isin("csv", "tsv", "txt"), encoding(c)["encoding"])).drop("_magic", "_members", "_b")
 
 

@@ -233,6 +233,27 @@ def test_extract(spark):
     assert [r.header for r in extract.headers(cells, t, extract.analyse(cells, t)).where("file_id = 'p'").orderBy("col").collect()][:3] == ["Well", "1", "2"]
 
 
+def test_format_likeness(spark):
+    cells = grid_of(spark, {"x": {(0, 0): ("a", {"bold": True, "bg": "#111111"}), (0, 1): ("b", {"bold": True, "bg": "#222222"}), (0, 2): "c"}})
+    s = semantic.signatures(cells).drop(*KEY, "r")
+    pair = s.select(*[F.col(n).alias(f"a_{n}") for n in s.columns]).join(s.select(*[F.col(n).alias(f"b_{n}") for n in s.columns]), F.col("a_c") < F.col("b_c"))
+    got = {(r.a_c, r.b_c): r.x for r in pair.withColumn("x", semantic.format_likeness()).collect()}
+    assert got == {(0, 1): 5.5 / 6.5, (0, 2): 3.5 / 5.5, (1, 2): 3.5 / 5.5}
+
+
+def test_report_and_merge_options(spark):
+    from sheetspark import api
+
+    near = block([["a", "b"]] * 3) | block([["d", "e"]] * 3, 0, 3)
+    cells = grid_of(spark, {"near": near, "people": PEOPLE})
+    tables = detect_tables(cells, config=Config())
+    got = {r.file_id: r for r in api.report(cells, tables).collect()}
+    assert got["people"].method_used == "simple_case_fast" and got["people"].tables[0].startswith("A1:C3 100.00%") and got["people"].large_tables == 1 and got["people"].sheet_density == 1.0
+    assert got["near"].table_count == 1
+    apart = islands.detect(cells.where("file_id = 'near'"), Config(column_gap_prevents_merge=True))
+    assert ranges(apart) == ["A1:B3", "D1:E3"]
+
+
 def test_partitioning_changes_nothing(spark):
     cells = grid_of(spark, {"a": PEOPLE, "b": block([["a", "b"]] * 4) | block([["c", "d"]] * 4, 8, 6)})
     one, many = (sorted(map(str, detect_tables(c).collect())) for c in (cells.coalesce(1), cells.repartition(7)))

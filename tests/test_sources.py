@@ -143,6 +143,15 @@ def test_results_and_summary(spark, folder, tmp_path):
     assert s["people.csv"].n_tables == 1 and s["people.csv"].success_rate == 1.0 and s["broken.xlsx"].n_tables == 0
 
 
+def test_media_types_and_strict_checking(spark, folder, tmp_path):
+    got = {r.path.rsplit("/", 1)[-1]: r.mime_type for r in identify.identify(identify.read_files(spark, folder)).select("path", "mime_type").collect()}
+    assert got["people.csv"] == got["wrong.xls"] == "text/csv" and got["tab.tsv"] == "text/tab-separated-values" and got["sales.xlsx"].endswith("spreadsheetml.sheet") and got["broken.xlsx"] == "text/plain"
+    (tmp_path / "a.xlsx").write_bytes(b"%PDF-1.4 and so on")
+    with pytest.raises(registry.UnsupportedFormatError):
+        api.identify(spark, str(tmp_path), Config(strict_format_checking=True))
+    assert api.identify(spark, str(tmp_path), Config()).first().mime_type == "application/pdf"
+
+
 def test_registry():
     assert registry.is_supported("x/y.CSV") and not registry.is_supported("x/y.pdf")
     with pytest.raises(registry.UnsupportedFormatError):
