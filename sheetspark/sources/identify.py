@@ -59,7 +59,8 @@ def printable_share(text: Column) -> Column:
 
 
 def is_likely_text(text: Column) -> Column:
-    return F.coalesce(printable_share(text) > 0.8, F.lit(False))
+    """Over 0.8 of it prints; nothing at all is no text."""
+    return F.coalesce(F.when(F.length(text) > 0, printable_share(text) > 0.8), F.lit(False))
 
 
 def counts_of(lines: Column, delimiter: str) -> Column:

@@ -167,3 +167,12 @@ def test_config(monkeypatch):
     assert Config.from_env().confidence_threshold == 0.8
     with pytest.raises(ValueError):
         Config(empty_row_tolerance=9)
+
+
+def test_nothing_is_no_text(spark, tmp_path):
+    """A share of no characters is not computed: the division would end the job."""
+    rows = [("empty.csv", bytearray(b""), 0), ("a.csv", bytearray(b"a,b\n1,2\n"), 8)]
+    got = {r.path: r for r in identify.identify(spark.createDataFrame(rows, "path string, content binary, length long")).collect()}
+    assert (got["empty.csv"].file_type, got["empty.csv"].method) == ("csv", "extension")
+    text = spark.createDataFrame([("",), (None,), ("abc",), ("ééa",)], "t string")
+    assert [r[0] for r in text.select(identify.is_likely_text(F.col("t"))).collect()] == [False, False, True, False]
