@@ -8,14 +8,17 @@ several steps read are written to the shared folder and read back.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import keep
 from ..model import GOOD_SIZE, KEY, SMALL_SIZE, Config, filled, valued
 from .grid import join_regions
+from .batches import by_sheets, sheet_numbers
 from .boxes import bordered
 
 ISLAND = ["ir", "ic"]
@@ -50,55 +53,78 @@ def row_runs(cells: DataFrame, gap: int = 1) -> DataFrame:
     return runs.groupBy(*KEY, "r", "run").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n")).drop("run")
 
 
-def _find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def _least(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For 0..n-1 the least number that links x[i] to y[i] reach: roots hook onto smaller ones, then paths are cut short."""
+    label = np.arange(n)
+    while len(x):
+        p, q = label[x], label[y]
+        apart = p != q
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
+
+
+def _links(sheet: np.ndarray, r: np.ndarray, a: np.ndarray, b: np.ndarray, gap: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of one sheet at most gap rows apart whose columns, widened by reach, meet. Runs are in order and those of a row are apart."""
+    starts = np.flatnonzero(np.r_[True, (np.diff(sheet) != 0) | (np.diff(r) != 0)])
+    row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(r)]))
+    place = sheet[starts] * (int(r.max()) + gap + 1) + r[starts]
+    wide = int(b.max()) + reach + 1
+    first, last = row * wide + a, row * wide + b  # in order over all rows, as runs of a row are
+    xs, ys = [], []
+    for d in range(1, gap + 1):
+        at = np.minimum(np.searchsorted(place, place + d), len(place) - 1)
+        other = np.where(place[at] == place + d, at, -1)[row]
+        x = np.flatnonzero(other >= 0)
+        lo = np.searchsorted(last, other[x] * wide + np.maximum(a[x] - reach, 0))
+        k = np.searchsorted(first, other[x] * wide + b[x] + reach, "right") - lo
+        xs.append(np.repeat(x, k))
+        ys.append(np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum()))
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def _components(gap: int, diagonal: bool):
-    reach = gap if diagonal else 0
-
-    def label(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["r", "c0"], kind="stable").reset_index(drop=True)
-        r, a, b = df.r.to_numpy(), df.c0.to_numpy(), df.c1.to_numpy()
-        parent = np.arange(len(df))
-        first = {row: i for i, row in reversed(list(enumerate(r)))}
-        ends = {row: i + 1 for i, row in enumerate(r)}
-        for row in sorted(first) if gap else ():
-            for other in range(row + 1, row + gap + 1):
-                if other not in first:
-                    continue
-                i, j = first[row], first[other]
-                while i < ends[row] and j < ends[other]:  # in column order one sweep finds every link: runs of a row are over gap apart
-                    if a[j] <= b[i] + reach and a[i] <= b[j] + reach:
-                        x, y = _find(parent, i), _find(parent, j)
-                        parent[max(x, y)] = min(x, y)
-                    if b[i] < b[j]:
-                        i += 1
-                    else:
-                        j += 1
-        root = np.array([_find(parent, i) for i in range(len(df))], int) if len(df) else np.zeros(0, int)
-        df["ir"] = r[root]
-        df["ic"] = a[root]
-        return df
+    """Cells or runs of whole sheets, in order, as runs with the first cell of their island."""
+
+    def label(rows: pa.Table) -> pa.Table:
+        sheet = sheet_numbers(rows)
+        r, a, b, n = (rows.column(x).to_numpy().astype(np.int64) for x in ("r", "c0", "c1", "n"))
+        starts = np.flatnonzero(np.r_[True, (np.diff(sheet) != 0) | (np.diff(r) != 0) | (a[1:] - b[:-1] > gap)])
+        ends = np.r_[starts[1:], len(r)] - 1
+        sheet, r, a, b, n = sheet[starts], r[starts], a[starts], b[ends], np.add.reduceat(n, starts)
+        root = _least(len(r), *_links(sheet, r, a, b, gap, gap if diagonal else 0))
+        out = [rows.column(x).take(pa.array(starts)) for x in KEY]
+        return pa.table([*out, *[pa.array(x, t) for x, t in ((r, pa.int32()), (a, pa.int32()), (b, pa.int32()), (n, pa.int64()), (r[root], pa.int32()), (a[root], pa.int32()))]], names=[*KEY, "r", "c0", "c1", "n", *ISLAND])
 
     return label
 
 
-def components(cells: DataFrame, gap: int = 1, diagonal: bool = True) -> DataFrame:
+def components(cells: DataFrame, gap: int = 1, diagonal: bool = True, size: DataFrame | None = None) -> DataFrame:
     """Runs with the island (ir, ic) they belong to: its first cell in row-major order. Cells within gap in both directions connect.
 
     Without diagonals cells connect along rows and columns only; gap 0 connects nothing but makes each cell its own.
+    size: totals(cells), if at hand.
     """
     if not diagonal and gap > 1:
         raise ValueError("gaps above 1 need diagonals")
+    one = F.lit(1).cast("long").alias("n")
+    own = cells.where(filled()).select(*KEY, "r", F.col("c").alias("c0"), F.col("c").alias("c1"), one)
     if gap == 0:
-        return cells.where(filled()).select(*KEY, "r", F.col("c").alias("c0"), F.col("c").alias("c1"), F.lit(1).cast("long").alias("n"), F.col("r").alias("ir"), F.col("c").alias("ic"))
-    runs = row_runs(cells, gap).transform(keep)
+        return own.withColumns({"ir": F.col("r"), "ic": F.col("c0")})
+    schema = "file_id string, sheet_idx int, r int, c0 int, c1 int, n long, ir int, ic int"
+    label = lambda df: by_sheets(df, ["r", "c0"], _components(gap, diagonal), schema)
+    many = (totals(cells) if size is None else size).where(F.col("total") > TASK_RUNS).select(*KEY).transform(keep)
+    if many.isEmpty():
+        return label(own)
+    # of sheets with more cells than a task takes, the runs may still be few enough
+    runs = row_runs(cells.join(many, KEY, "left_semi"), gap).transform(keep)
     large = runs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > TASK_RUNS).select(*KEY).transform(keep)
-    small = runs.join(large, KEY, "left_anti").groupBy(*KEY).applyInPandas(_components(gap, diagonal), "file_id string, sheet_idx int, r int, c0 int, c1 int, n long, ir int, ic int")
+    small = label(own.join(many, KEY, "left_anti").unionByName(runs.join(large, KEY, "left_anti")))
     return small if large.isEmpty() else small.unionByName(_linked(runs.join(large, KEY, "left_semi"), gap, gap if diagonal else 0))
 
 
@@ -201,9 +227,23 @@ def format_boundaries(formats: DataFrame) -> DataFrame:
     return out.withColumn("is_boundary", F.col("header_starts") | F.col("borders_change") | F.col("table_ends"))
 
 
-def split_at_boundaries(runs: DataFrame, cells: DataFrame, min_size: int = SMALL_SIZE) -> DataFrame:
-    """runs with `part`: islands of more than 4 rows are cut before boundary rows; parts below min_size go, unless none is left."""
-    marks = format_boundaries(row_formats(cells)).where("is_boundary").select(*KEY, "r", F.lit(1).alias("cut"))
+def boundary_rows(cells: DataFrame) -> DataFrame:
+    """Rows (key, r) that start a new table by their format. Sheets without a border and without a background are judged by counts of bold cells alone, which needs no lists of cells."""
+    border = bordered(SIDES[0]) | bordered(SIDES[1]) | bordered(SIDES[2]) | bordered(SIDES[3])
+    dressed = cells.where(border | F.col("bg_color").isNotNull()).select(*KEY).distinct().transform(keep)
+    plain = cells.where(filled()).groupBy(*KEY, "r").agg((F.count_if("is_bold") / F.count(F.lit(1)) >= 0.7).alias("is_header"))
+    none = dressed.isEmpty()
+    plain = plain if none else plain.join(dressed, KEY, "left_anti")
+    before = F.lag("is_header").over(Window.partitionBy(*KEY).orderBy("r"))
+    found = plain.withColumn("starts", ~before & F.col("is_header")).where("starts").select(*KEY, "r")
+    if none:
+        return found
+    return found.unionByName(format_boundaries(row_formats(cells.join(dressed, KEY, "left_semi"))).where("is_boundary").select(*KEY, "r"))
+
+
+def split_at_boundaries(runs: DataFrame, marks: DataFrame, min_size: int = SMALL_SIZE) -> DataFrame:
+    """runs with `part`: islands of more than 4 rows are cut before the marks (boundary_rows); parts below min_size go, unless none is left."""
+    marks = marks.select(*KEY, "r", F.lit(1).alias("cut"))
     w = Window.partitionBy(*KEY, *ISLAND)
     own = runs.join(marks, [*KEY, "r"], "left").withColumns({"top": F.min("r").over(w), "tall": F.max("r").over(w) - F.min("r").over(w) > 3})
     here = F.when(F.col("tall") & (F.col("r") > F.col("top")), F.coalesce("cut", F.lit(0))).otherwise(0)
@@ -271,112 +311,150 @@ def _absorb(items: list, test) -> list:
     return out
 
 
-def _merge_sheet(tolerance: int, overlap: float = 0.5, column_gap_prevents: bool = False):
-    def merge(parts: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.assign(big=-parts.whole).sort_values(["big", "ir", "ic", "part"], kind="stable").reset_index(drop=True)
-        row, lo, hi = (runs[x].to_numpy() for x in ("r", "c0", "c1"))
-
-        def cells_in(box) -> int:
-            on = (row >= box[0]) & (row <= box[2])
-            return int(np.clip(np.minimum(hi[on], box[3]) - np.maximum(lo[on], box[1]) + 1, 0, None).sum())
-
-        items = [((p.r0, p.c0, p.r1, p.c1), [i]) for i, p in enumerate(parts.itertuples(index=False))]
-        split = len(items) > parts.groupby(["ir", "ic"]).ngroups
-        if tolerance > 0 and len(items) > 1:
-            items.sort(key=lambda x: (x[0][0], x[0][1]))
-
-            def reconnects(_, a, b):
-                width = min(a[3], b[3]) - max(a[1], b[1]) + 1
-                if not 1 <= b[0] - a[2] - 1 <= tolerance or width <= 0 or width / min(a[3] - a[1] + 1, b[3] - b[1] + 1) < 0.5:
-                    return False
-                return cells_in((a[2] + 1, max(a[1], b[1]), b[0] - 1, min(a[3], b[3]))) <= width * 0.2
-
-            items = _absorb(items, reconnects)
-        if len(items) > 1:
-            order = sorted((x[0] for x in items), key=lambda x: (x[0], x[1]))
-            apart = all(b[0] > a[2] + 1 and not cells_in((a[2] + 1, min(a[1], b[1]), b[0] - 1, max(a[3], b[3]))) for a, b in zip(order, order[1:]))
-            first = parts.iloc[0]
-            density = first.total / ((first.max_row + 1) * (first.max_col + 1))
-            distance = 0 if apart else 1 if split else 5 if density < 0.3 else 3 if density < 0.6 else 2
-            if distance:
-                items = _absorb(items, lambda own, grown, b: mergeable(own, b, distance, overlap, column_gap_prevents) and not ((g := _gap(grown, b)) and cells_in(g)))
-        final = np.zeros(len(parts), int)
-        for k, (_, members) in enumerate(items):
-            final[members] = k
-        return parts.assign(seq=final)[["file_id", "sheet_idx", "ir", "ic", "part", "seq"]]
+def _merged(parts: list[tuple], runs: list[np.ndarray], own: tuple[int, int], tolerance: int, overlap: float, column_gap_prevents: bool) -> list[int]:
+    """The table that each part of a sheet falls in. parts: (whole, ir, ic, part, r0, c0, r1, c1, density); runs: rows, first and last columns, own: where the sheet's are, in order of rows."""
+    row, lo, hi = (memoryview(x) for x in runs)
+
+    def cells_in(box) -> int:
+        i, j = bisect_left(row, box[0], *own), bisect_right(row, box[2], *own)
+        if j - i < 64:
+            return sum(max(0, min(hi[x], box[3]) - max(lo[x], box[1]) + 1) for x in range(i, j))
+        return int(np.clip(np.minimum(runs[2][i:j], box[3]) - np.maximum(runs[1][i:j], box[1]) + 1, 0, None).sum())
+
+    order = sorted(range(len(parts)), key=lambda i: (-parts[i][0], *parts[i][1:4]))
+    items = [(parts[i][4:8], [i]) for i in order]
+    split = len(items) > len({p[1:3] for p in parts})
+    if tolerance > 0 and len(items) > 1:
+        items.sort(key=lambda x: (x[0][0], x[0][1]))
+
+        def reconnects(_, a, b):
+            width = min(a[3], b[3]) - max(a[1], b[1]) + 1
+            if not 1 <= b[0] - a[2] - 1 <= tolerance or width <= 0 or width / min(a[3] - a[1] + 1, b[3] - b[1] + 1) < 0.5:
+                return False
+            return cells_in((a[2] + 1, max(a[1], b[1]), b[0] - 1, min(a[3], b[3]))) <= width * 0.2
+
+        items = _absorb(items, reconnects)
+    if len(items) > 1:
+        bounds = sorted((x[0] for x in items), key=lambda x: (x[0], x[1]))
+        apart = all(b[0] > a[2] + 1 and not cells_in((a[2] + 1, min(a[1], b[1]), b[0] - 1, max(a[3], b[3]))) for a, b in zip(bounds, bounds[1:]))
+        density = parts[0][8]
+        distance = 0 if apart else 1 if split else 5 if density < 0.3 else 3 if density < 0.6 else 2
+        if distance:
+            items = _absorb(items, lambda own, grown, b: mergeable(own, b, distance, overlap, column_gap_prevents) and not ((g := _gap(grown, b)) and cells_in(g)))
+    seq = [0] * len(parts)
+    for k, (_, members) in enumerate(items):
+        for i in members:
+            seq[i] = k
+    return seq
+
+
+PART = ["whole", *ISLAND, "part", "r0", "c0", "r1", "c1", "density"]
+
+
+def _merge_sheets(tolerance: int, overlap: float = 0.5, column_gap_prevents: bool = False):
+    def merge(rows: pa.Table) -> pa.Table:
+        sheet = sheet_numbers(rows)
+        is_run = rows.column("is_run").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, np.diff(sheet) != 0])
+        ends = np.r_[starts[1:], len(sheet)]
+        heads = ends - np.add.reduceat(is_run.astype(np.int64), starts)  # parts come before runs
+        runs = [rows.column(x).to_numpy(zero_copy_only=False) for x in ("r0", "c0", "c1")]
+        at = np.flatnonzero(~is_run)
+        few = rows.select([*KEY, *PART]).take(pa.array(at))
+        parts = list(zip(*(few.column(x).to_pylist() for x in PART)))
+        seq, done = [], 0
+        for i, j, k in zip(starts.tolist(), heads.tolist(), ends.tolist()):
+            own = parts[done : done + j - i]
+            done += j - i
+            seq += _merged(own, runs, (j, k), tolerance, overlap, column_gap_prevents) if own else []
+        return few.select([*KEY, *ISLAND, "part"]).append_column("seq", pa.array(seq, pa.int32()))
 
     return merge
 
 
+def merge_parts(parts: DataFrame, runs: DataFrame, config: Config) -> DataFrame:
+    """parts with `seq`, the table of their sheet that they fall in. Only sheets with several parts go to Python, with their runs."""
+    several = parts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*KEY)
+    own = parts.withColumn("density", F.col("total") / ((F.col("max_row") + F.lit(1).cast("long")) * (F.col("max_col") + 1))).select(*KEY, F.lit(False).alias("is_run"), *PART)
+    kinds = dict(own.dtypes)
+    places = {"r0": F.col("r"), "c0": F.col("c0"), "r1": F.col("r"), "c1": F.col("c1")}
+    every = runs.select(*KEY, F.lit(True).alias("is_run"), *[places.get(x, F.lit(None)).cast(kinds[x]).alias(x) for x in PART])
+    rows = own.unionByName(every).join(several, KEY, "left_semi")
+    merged = by_sheets(rows, ["is_run", "r0", "c0"], _merge_sheets(config.empty_row_tolerance, config.min_column_overlap_for_merge, config.column_gap_prevents_merge), "file_id string, sheet_idx int, ir int, ic int, part int, seq int")
+    return parts.join(merged, [*KEY, *ISLAND, "part"], "left").withColumn("seq", F.coalesce("seq", F.lit(0)))
+
+
 def detect(cells: DataFrame, config: Config = Config()) -> DataFrame:
     """Islands of each sheet: seq, n, bounds and all scores."""
     size = totals(cells).transform(keep)
-    runs = components(cells, config.max_gap).transform(keep)
-    big = extents(runs, ISLAND).join(size, KEY).where(F.col("n") >= least_size(F.col("total"), config))
-    runs = runs.join(big.select(*KEY, *ISLAND, F.col("n").alias("whole"), "total", "max_row", "max_col"), [*KEY, *ISLAND])
+    runs = components(cells, config.max_gap, size=size).transform(keep)
+    islands = extents(runs, ISLAND).join(size, KEY).where(F.col("n") >= least_size(F.col("total"), config))
+    islands = islands.withColumns({"whole": F.col("n"), "part": F.lit(0)}).transform(keep)
+    parts = islands
     if config.use_border_detection:
-        cut = split_at_boundaries(runs, cells, config.min_island_size)
-    else:
-        cut = runs.withColumn("part", F.lit(0))
-    facts = runs.select(*KEY, *ISLAND, "whole", "total", "max_row", "max_col").distinct()
-    parts = extents(cut, [*ISLAND, "part"]).join(facts, [*KEY, *ISLAND]).transform(keep)
-    every = row_runs(cells, 1)
-    merged = parts.groupBy(*KEY).cogroup(every.groupBy(*KEY)).applyInPandas(_guard(_merge_sheet(config.empty_row_tolerance, config.min_column_overlap_for_merge, config.column_gap_prevents_merge)), "file_id string, sheet_idx int, ir int, ic int, part int, seq int")
-    whole = parts.join(merged, [*KEY, *ISLAND, "part"]).groupBy(*KEY, "seq").agg(F.sum("n").alias("n"), F.min("r0").alias("r0"), F.min("c0").alias("c0"), F.max("r1").alias("r1"), F.max("c1").alias("c1"))
+        marks = boundary_rows(cells).transform(keep)
+        cut = islands.join(marks, KEY).where((F.col("r1") - F.col("r0") > 3) & (F.col("r") > F.col("r0")) & (F.col("r") <= F.col("r1"))).select(*KEY, *ISLAND).distinct().transform(keep)
+        if not cut.isEmpty():
+            by = [*KEY, *ISLAND]
+            pieces = extents(split_at_boundaries(runs.join(cut, by, "left_semi"), marks, config.min_island_size), [*ISLAND, "part"])
+            facts = islands.select(*by, "whole", "total", "max_row", "max_col")
+            parts = islands.join(cut, by, "left_anti").unionByName(pieces.join(facts, by)).transform(keep)
+    every = runs if config.max_gap <= 1 else row_runs(cells, 1)  # up to gap 1 a run has no hole
+    whole = merge_parts(parts, every, config).groupBy(*KEY, "seq").agg(F.sum("n").alias("n"), F.min("r0").alias("r0"), F.min("c0").alias("c0"), F.max("r1").alias("r1"), F.max("c1").alias("c1"))
     return score(cells, whole, ["seq"])
 
 
-def _guard(fn):
-    columns = ["file_id", "sheet_idx", "ir", "ic", "part", "seq"]
-    return lambda a, b: fn(a, b) if len(a) else pd.DataFrame({c: [] for c in columns}).astype({"file_id": str, **{c: "int32" for c in columns[1:]}})
-
-
 # ---- scores
 
 
 def measure(cells: DataFrame, islands: DataFrame, ids: list[str]) -> DataFrame:
-    """ids, n, bounds -> every component of the score, from one join of cells with bounds widened by the ring of 2."""
+    """ids, n, bounds -> every component of the score, from one join of cells with bounds widened by the ring of 2.
+
+    Cells are counted by all that the score looks at, once; each component is a sum of those counts.
+    """
     size = totals(cells)
     own = [*KEY, *ids, "n", "r0", "c0", "r1", "c1"]
+    sig = F.concat_ws("", *[F.coalesce(F.col(s), F.lit("")).rlike(".").cast("int").cast("string") for s in SIDES])
+    looked = {"v": valued(), "f": filled(), "vtype": F.col("vtype"), "is_bold": F.col("is_bold"), "halign": F.col("halign"), "sig": sig, **{x: F.col(x) for x in ("font_size", "font_color", "bg_color")}}
     r, c = F.col("r"), F.col("c")
-    at = join_regions(cells, islands.select(*own), 2).transform(keep)
+    at = join_regions(cells.select(*KEY, "r", "c", *[x.alias(n) for n, x in looked.items()]), islands.select(*own), 2)
     box = r.between(F.col("r0"), F.col("r1")) & c.between(F.col("c0"), F.col("c1"))
-    at = at.withColumns({"box": box, "first": box & (r == F.col("r0")), "second": box & (r == F.col("r0") + 1)})
-    text = valued() & (F.col("vtype") == "string")
-    head = at.groupBy(*own).agg(
-        F.count_if(F.col("first") & text).alias("texts"),
-        F.count_if(F.col("first") & F.col("is_bold")).alias("bolds"),
-        F.count_if(F.col("second") & F.col("vtype").isin("number", "datetime")).alias("numbers"),
-        F.count_if(~F.col("box") & filled()).alias("ring"),
+    line = F.when(~box, -1).when(r == F.col("r0"), 0).when(r == F.col("r0") + 1, 1).otherwise(2)
+    inside = [F.when(box, F.col(x)).alias(x) for x in ("c", *looked) if x != "f"]
+    counted = at.select(*own, line.alias("line"), "f", *inside)
+    counted = counted.groupBy(counted.columns).agg(F.count(F.lit(1)).alias("k")).transform(keep)
+    tally = lambda on: F.coalesce(F.sum(F.when(on, F.col("k"))), F.lit(0))
+    first = F.col("line") == 0
+    head = counted.groupBy(*own).agg(
+        tally(first & F.col("v") & (F.col("vtype") == "string")).alias("texts"),
+        tally(first & F.col("is_bold")).alias("bolds"),
+        tally((F.col("line") == 1) & F.col("vtype").isin("number", "datetime")).alias("numbers"),
+        tally((F.col("line") < 0) & F.col("f")).alias("ring"),
     )
-    width, height = F.col("c1") - F.col("c0") + 1, F.col("r1") - F.col("r0") + 1
+    width, height = (F.col("c1") - F.col("c0") + 1).cast("long"), F.col("r1") - F.col("r0") + 1
     head = head.join(size, KEY)
     head = head.withColumn("has_headers", (F.col("texts") == width) & ((F.col("bolds") > 0) | (F.col("numbers") > 0)))
-    wide = F.least("max_col", F.col("c1") + 2) - F.greatest(F.lit(0), F.col("c0") - 2) + 1
+    wide = (F.least("max_col", F.col("c1") + 2) - F.greatest(F.lit(0), F.col("c0") - 2) + 1).cast("long")
     tall = F.least("max_row", F.col("r1") + 2) - F.greatest(F.lit(0), F.col("r0") - 2) + 1
     area = wide * tall - width * height
     head = head.withColumns({"density": F.col("n") / (width * height), "ring_ratio": F.when(area > 0, F.col("ring") / area).otherwise(0.0)})
     head = head.drop("texts", "bolds", "numbers", "ring").transform(keep)
 
-    inner = at.where("box").join(head.select(*KEY, *ids, "has_headers"), [*KEY, *ids])
-    inner = inner.withColumn("body", (r > F.col("r0")) | ~F.col("has_headers"))
-    sig = F.concat_ws("", *[F.coalesce(F.col(s), F.lit("")).rlike(".").cast("int").cast("string") for s in SIDES])
-    border = inner.groupBy(*KEY, *ids, sig.alias("sig")).agg(F.count(F.lit(1)).alias("k"))
+    inner = counted.where("line >= 0").join(head.select(*KEY, *ids, "has_headers"), [*KEY, *ids])
+    inner = inner.withColumn("body", (F.col("line") > 0) | ~F.col("has_headers"))
+    border = inner.groupBy(*KEY, *ids, "sig").agg(F.sum("k").alias("k"))
     border = border.groupBy(*KEY, *ids).agg((F.max("k") / F.sum("k")).alias("share"), F.max((F.col("sig") != "0000").cast("int")).alias("any"))
     border = border.select(*KEY, *ids, F.when(F.col("any") == 1, F.least(F.lit(1.0), F.col("share") + 0.1)).otherwise(F.col("share")).alias("border_score"))
-    kinds = inner.where(F.col("body") & valued()).groupBy(*KEY, *ids, "c", "vtype").agg(F.count(F.lit(1)).alias("k"))
+    kinds = inner.where(F.col("body") & F.col("v")).groupBy(*KEY, *ids, "c", "vtype").agg(F.sum("k").alias("k"))
     kinds = kinds.groupBy(*KEY, *ids, "c").agg((F.max("k") / F.sum("k")).alias("share")).groupBy(*KEY, *ids).agg(F.avg("share").alias("type_score"))
     halign = F.col("halign")
     right = ((F.col("vtype") == "number") & (halign == "right")) | (F.col("vtype").isin("string", "datetime") & halign.isin("left", "center"))
-    some = lambda c: F.when(F.col("body") & (F.col(c).cast("string") != ""), F.col(c))
-    looks = inner.groupBy(*KEY, *ids).agg(
-        F.count_if(F.coalesce(halign, F.lit("")) != "").alias("aligned"),
-        F.count_if(right).alias("right"),
-        F.count_if("body").alias("k"),
-        F.count_if(F.col("body") & F.col("is_bold")).alias("kb"),
-        F.count_distinct(some("font_size")).alias("sizes"),
-        F.count_distinct(some("font_color")).alias("colors"),
-        F.count_distinct(some("bg_color")).alias("grounds"),
+    some = lambda c: F.when(F.col("body") & (F.col(c).cast("string") != ""), F.col(c)).alias(c)
+    looks = inner.groupBy(*KEY, *ids, *[some(x) for x in ("font_size", "font_color", "bg_color")]).agg(
+        tally(F.coalesce(halign, F.lit("")) != "").alias("aligned"), tally(right).alias("right"), tally(F.col("body")).alias("k"), tally(F.col("body") & F.col("is_bold")).alias("kb")
+    )
+    looks = looks.groupBy(*KEY, *ids).agg(
+        *[F.sum(x).alias(x) for x in ("aligned", "right", "k", "kb")], F.count_distinct("font_size").alias("sizes"), F.count_distinct("font_color").alias("colors"), F.count_distinct("bg_color").alias("grounds")
     )
     share = F.col("kb") / F.col("k")
     parts = [

@@ -258,3 +258,32 @@ def test_partitioning_changes_nothing(spark):
     cells = grid_of(spark, {"a": PEOPLE, "b": block([["a", "b"]] * 4) | block([["c", "d"]] * 4, 8, 6)})
     one, many = (sorted(map(str, detect_tables(c).collect())) for c in (cells.coalesce(1), cells.repartition(7)))
     assert one == many and KEY == ["file_id", "sheet_idx"]
+
+
+def test_many_sheets_are_labelled_in_few_calls(spark, monkeypatch):
+    """Islands of 300 sheets equal a flood fill; Python is called for batches of sheets, one sheet may span several."""
+    import random
+
+    rng = random.Random(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    sheets = {f"s{k:03d}": {(r, c): 1 for r in range(rng.randint(1, 30 if k % 100 else 90)) for c in range(9) if rng.random() < 0.35} for k in range(300)}
+    cells = grid_of(spark, sheets)
+    try:
+        for gap, diagonal in ((1, True), (1, False), (2, True)):
+            got = {(x.file_id, x.r, c): (x.ir, x.ic) for x in islands.components(cells, gap, diagonal).collect() for c in range(x.c0, x.c1 + 1)}
+            near = [(i, j) for i in range(-gap, gap + 1) for j in range(-gap, gap + 1) if diagonal or not i or not j]
+            for name, own in sheets.items():
+                left = set(own)
+                while left:
+                    root = min(left)
+                    left.discard(root)
+                    queue = [root]
+                    for r, c in queue:
+                        assert got[name, r, c] == root
+                        new = [(r + i, c + j) for i, j in near if (r + i, c + j) in left]
+                        left.difference_update(new)
+                        queue += new
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    grouped = [f for f in (islands.components(cells), islands.detect(cells)) if "FlatMapGroupsInPandas" in f._jdf.queryExecution().toString() or "FlatMapCoGroups" in f._jdf.queryExecution().toString()]
+    assert not grouped
