@@ -287,3 +287,14 @@ def test_many_sheets_are_labelled_in_few_calls(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     grouped = [f for f in (islands.components(cells), islands.detect(cells)) if "FlatMapGroupsInPandas" in f._jdf.queryExecution().toString() or "FlatMapCoGroups" in f._jdf.queryExecution().toString()]
     assert not grouped
+
+
+def test_parts_are_merged_in_batches(spark):
+    """No Python call for each sheet of a cascade: parts of many sheets go in batches, sheets with one part not at all."""
+    bounds = {"near": [(0, 0, 2, 3), (4, 0, 6, 3)], "far": [(0, 0, 2, 3), (40, 20, 42, 23)], "one": [(0, 0, 2, 3)]}
+    parts = [(n, 0, b[0], b[1], 0, 12, *b, 12, 12 * len(own), 42, 23) for n, own in bounds.items() for b in own]
+    runs = [(n, 0, r, b[1], b[3]) for n, own in bounds.items() for b in own for r in range(b[0], b[2] + 1)]
+    parts = spark.createDataFrame(parts, "file_id string, sheet_idx int, ir int, ic int, part int, n long, r0 int, c0 int, r1 int, c1 int, whole long, total long, max_row int, max_col int")
+    got = islands.merge_parts(parts, spark.createDataFrame(runs, "file_id string, sheet_idx int, r int, c0 int, c1 int"), Config())
+    assert "CoGroups" not in got._jdf.queryExecution().toString()
+    assert {n: len({x.seq for x in got.collect() if x.file_id == n}) for n in bounds} == {"near": 1, "far": 2, "one": 1}
