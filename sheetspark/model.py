@@ -18,6 +18,8 @@ CELLS = (
     "is_bold boolean, is_italic boolean, is_underline boolean, font_size double, font_color string, bg_color string, "
     "bt string, bb string, bl string, br string, is_merged boolean, merge_range string, has_formula boolean, formula string, indent int, halign string"
 )
+#: Columns of cells that table detection looks at.
+LOOKED = [*KEY, "r", "c", "val_str", "val_num", "vtype", "is_bold", "font_size", "font_color", "bg_color", "bt", "bb", "bl", "br", "halign"]
 #: Value of a column that a source does not give.
 DEFAULTS = {"vtype": "string", "is_bold": False, "is_italic": False, "is_underline": False, "is_merged": False, "has_formula": False, "indent": 0, "sheet_idx": 0}
 

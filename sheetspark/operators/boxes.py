@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEY, valued
 from ..store import keep
+from .grid import band, on_sheets
 
 BOX = ["r0", "c0", "r1", "c1"]
 
@@ -22,25 +23,39 @@ def bordered(side: str):
     return F.coalesce(F.col(side).isNotNull() & (F.col(side) != "none"), F.lit(False))
 
 
-def edges(cells: DataFrame) -> DataFrame:
-    """Cells with a border on sheets with a corner: ends of the runs of top, bottom, left and right borders, and running sums of values."""
+def edges(cells: DataFrame, among: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Cells with a border on sheets with a corner: ends of the runs of top, bottom, left and right borders, and running sums of values. among: the sheets to look at. rows: simple.row_totals, if at hand."""
     flags = {"t": bordered("bt"), "b": bordered("bb"), "l": bordered("bl"), "g": bordered("br")}
     corners = cells.where(flags["t"] & flags["l"]).select(*KEY).distinct()
-    own = cells.join(corners, KEY, "left_semi").select(*KEY, "r", "c", valued().cast("long").alias("v"), *[f.alias(n) for n, f in flags.items()])
-    by_row = Window.partitionBy(*KEY, "r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    e = own.withColumn("along", F.sum("v").over(by_row)).where("t or b or l or g")
-    for flag, along, across in (("t", "c", "r"), ("b", "c", "r"), ("l", "r", "c"), ("g", "r", "c")):
-        # flagged cells at neighbouring places are as far apart as their numbers: their difference names the run
-        e = e.withColumn("run", F.col(along) - F.row_number().over(Window.partitionBy(*KEY, across, flag).orderBy(along)))
-        end = F.max(along).over(Window.partitionBy(*KEY, across, flag, "run"))
-        e = e.withColumn(f"{flag}_end", F.when(F.col(flag), end)).drop("run")
-    down = Window.partitionBy(*KEY, "c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumns({"left_sum": F.sum(F.when(F.col("l"), F.col("along") - F.col("v")).otherwise(0)).over(down), "right_sum": F.sum(F.when(F.col("g"), F.col("along")).otherwise(0)).over(down)})
-
-
-def verified(cells: DataFrame, min_rows: int = 2, min_cols: int = 2, min_density: float = 0.3) -> DataFrame:
+    if among is not None:
+        corners = corners.join(among.select(*KEY), KEY, "left_semi")
+    own = on_sheets(cells, corners.transform(keep), rows).select(*KEY, *band(cells), "r", "c", valued().cast("long").alias("v"), *[f.alias(n) for n, f in flags.items()])
+
+    def ends(of: DataFrame, along: str, by: list[str], names: str) -> DataFrame:
+        # from the last place to the first: a run ends where the place after it has no such border, and its cells before see that end last
+        w = Window.partitionBy(*KEY, *by).orderBy(F.desc(along))
+        beside = F.lag(along).over(w) == F.col(along) + 1
+        of = of.withColumns({f"{n}_last": F.when(F.col(n) & ~F.coalesce(beside & F.lag(n).over(w), F.lit(False)), F.col(along)) for n in names})
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        return of.withColumns({f"{n}_end": F.when(F.col(n), F.last(f"{n}_last", ignorenulls=True).over(so_far)) for n in names}).drop(*[f"{n}_last" for n in names])
+
+    def sums(of: DataFrame, along: str, by: list[str], values: dict) -> DataFrame:
+        """Running sums from the first place on, in the order that ends has left."""
+        w = Window.partitionBy(*KEY, *by)
+        back = w.orderBy(F.desc(along)).rowsBetween(Window.unboundedPreceding, 0)
+        of = of.withColumns({f"{n}_own": x for n, x in values.items()})
+        of = of.withColumns({f"{n}_back": F.sum(f"{n}_own").over(back) for n in values})
+        of = of.withColumns({n: F.sum(f"{n}_own").over(w) - F.col(f"{n}_back") + F.col(f"{n}_own") for n in values})
+        return of.drop(*[f"{n}_{x}" for n in values for x in ("own", "back")])
+
+    e = sums(ends(own, "c", [*band(cells), "r"], "tb"), "c", [*band(cells), "r"], {"along": F.col("v")}).where("t or b or l or g")
+    down = {"left_sum": F.when(F.col("l"), F.col("along") - F.col("v")).otherwise(0), "right_sum": F.when(F.col("g"), F.col("along")).otherwise(0)}
+    return sums(ends(e, "r", ["c"], "lg"), "r", ["c"], down)
+
+
+def verified(cells: DataFrame, min_rows: int = 2, min_cols: int = 2, min_density: float = 0.3, among: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Boxes from cells with top and left borders, as far right as top borders run and as far down as left ones, whose other edges are whole too and which hold values enough."""
-    e = edges(cells).transform(keep)
+    e = edges(cells, among, rows).transform(keep)
     b = e.where("t and l").select(*KEY, F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("l_end").alias("r1"), F.col("t_end").alias("c1"), (F.col("left_sum") - F.col("along") + F.col("v")).alias("left_before"))
     b = b.where((F.col("r1") - F.col("r0") + 1 >= min_rows) & (F.col("c1") - F.col("c0") + 1 >= min_cols))
     low_left = e.where("b and l").select(*KEY, F.col("r").alias("r1"), F.col("c").alias("c0"), "b_end", "left_sum")
@@ -63,9 +78,9 @@ def _disjoint(df: pd.DataFrame) -> pd.DataFrame:
     return df.iloc[kept]
 
 
-def detect(cells: DataFrame) -> DataFrame:
-    """Boxes in row-major order of their corners; corners inside an earlier box are passed over. Sheets with one box are settled without Python."""
-    good = verified(cells).transform(keep)
+def detect(cells: DataFrame, among: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Boxes of the sheets in row-major order of their corners; corners inside an earlier box are passed over. Sheets with one box are settled without Python."""
+    good = verified(cells, among=among, rows=rows).transform(keep)
     several = good.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*KEY)
     chosen = good.join(several, KEY, "left_anti")
     if not several.isEmpty():

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.addr import cell_address
 from ..functions.typing import data_type
-from ..model import KEY, complete, filled, valued
+from ..model import KEY, LOOKED, complete, filled, valued
+from ..store import keep_buckets
 
 
 def to_cells(df: DataFrame, file_id: Column, row: Column, columns: list[str], header: bool = True) -> DataFrame:
@@ -58,12 +59,34 @@ def region(cells: DataFrame, r0: int, r1: int, c0: int, c1: int, stored: bool =
 BAND = 64
 
 
+def band(cells: DataFrame) -> list[str]:
+    """The column by which cells lie, if they are laid."""
+    return [x for x in cells.columns if x == "_band"]
+
+
+def laid(cells: DataFrame) -> DataFrame:
+    """What detectors look at of cells, written in buckets of sheet and row band: sums by row, regions and choices of sheets then move no cell. A large sheet lies in many buckets."""
+    if band(cells):
+        return cells
+    return keep_buckets(cells.select(*LOOKED, F.floor(F.col("r") / BAND).alias("_band")), [*KEY, "_band"])
+
+
+def on_sheets(cells: DataFrame, sheets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Cells of the sheets; laid ones stay where they lie. rows: simple.row_totals of them at least, if at hand."""
+    if not band(cells):
+        return cells.join(sheets.select(*KEY), KEY, "left_semi")
+    bands = (cells if rows is None else rows).select(*KEY, "_band").distinct().join(sheets.select(*KEY), KEY, "left_semi")
+    return cells.join(bands.hint("shuffle_hash"), [*KEY, "_band"], "left_semi")
+
+
 def join_regions(cells: DataFrame, regions: DataFrame, pad: int = 0) -> DataFrame:
     """Cells with each region (r0, c0, r1, c1) of their sheet that they lie in, or within pad of: an equi-join on sheet and row band, then the bounds."""
     lo, hi = F.greatest(F.lit(0), F.col("r0") - pad), F.col("r1") + pad
     banded = regions.withColumn("_band", F.explode(F.sequence(F.floor(lo / BAND), F.floor(hi / BAND))))
-    at = cells.withColumn("_band", F.floor(F.col("r") / BAND)).join(banded, [*KEY, "_band"])
-    return at.where(F.col("r").between(F.col("r0") - pad, hi) & F.col("c").between(F.col("c0") - pad, F.col("c1") + pad)).drop("_band")
+    within = F.col("r").between(F.col("r0") - pad, hi) & F.col("c").between(F.col("c0") - pad, F.col("c1") + pad)
+    if band(cells):
+        return cells.join(banded.hint("shuffle_hash"), [*KEY, "_band"]).where(within)
+    return cells.withColumn("_band", F.floor(F.col("r") / BAND)).join(banded, [*KEY, "_band"]).where(within).drop("_band")
 
 
 def dense(cells: DataFrame, regions: DataFrame) -> DataFrame:

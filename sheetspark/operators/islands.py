@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..store import keep
 from ..model import GOOD_SIZE, KEY, SMALL_SIZE, Config, filled, valued
-from .grid import join_regions
+from .grid import band, join_regions, on_sheets
 from .batches import by_sheets, sheet_numbers
 from .boxes import bordered
+from .simple import BITS, row_totals
 
 ISLAND = ["ir", "ic"]
 #: A sheet with more runs than this is not labelled by one task; either way gives the same islands.
@@ -89,9 +90,11 @@ def _links(sheet: np.ndarray, r: np.ndarray, a: np.ndarray, b: np.ndarray, gap:
 
 
 def _components(gap: int, diagonal: bool):
-    """Cells or runs of whole sheets, in order, as runs with the first cell of their island."""
+    """Cells, runs or rows of bits (one for each column in use) of whole sheets, in order, as runs with the first cell of their island."""
 
     def label(rows: pa.Table) -> pa.Table:
+        if "cols" in rows.column_names and rows.column("cols").null_count < rows.num_rows:
+            rows = _unpacked(rows)
         sheet = sheet_numbers(rows)
         r, a, b, n = (rows.column(x).to_numpy().astype(np.int64) for x in ("r", "c0", "c1", "n"))
         starts = np.flatnonzero(np.r_[True, (np.diff(sheet) != 0) | (np.diff(r) != 0) | (a[1:] - b[:-1] > gap)])
@@ -104,11 +107,23 @@ def _components(gap: int, diagonal: bool):
     return label
 
 
-def components(cells: DataFrame, gap: int = 1, diagonal: bool = True, size: DataFrame | None = None) -> DataFrame:
+def _unpacked(rows: pa.Table) -> pa.Table:
+    """Rows of bits as cells; a row without bits stays. No row has both."""
+    bits = rows.column("cols").fill_null(0).to_numpy().astype("<i8")
+    plain = np.asarray(rows.column("cols").is_null())
+    on = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    on[plain, 0] = 1
+    at, col = np.nonzero(on)
+    a, b, n = (np.where(plain[at], rows.column(x).fill_null(0).to_numpy()[at], col if x != "n" else 1) for x in ("c0", "c1", "n"))
+    few = rows.select([*KEY, "r"]).take(pa.array(at))
+    return pa.table([*few.columns, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(n, pa.int64())], names=[*KEY, "r", "c0", "c1", "n"])
+
+
+def components(cells: DataFrame, gap: int = 1, diagonal: bool = True, size: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Runs with the island (ir, ic) they belong to: its first cell in row-major order. Cells within gap in both directions connect.
 
     Without diagonals cells connect along rows and columns only; gap 0 connects nothing but makes each cell its own.
-    size: totals(cells), if at hand.
+    size: totals(cells), if at hand. rows: simple.row_totals(cells), if at hand; rows whose cells are those of their bits go as they are.
     """
     if not diagonal and gap > 1:
         raise ValueError("gaps above 1 need diagonals")
@@ -120,7 +135,17 @@ def components(cells: DataFrame, gap: int = 1, diagonal: bool = True, size: Data
     label = lambda df: by_sheets(df, ["r", "c0"], _components(gap, diagonal), schema)
     many = (totals(cells) if size is None else size).where(F.col("total") > TASK_RUNS).select(*KEY).transform(keep)
     if many.isEmpty():
-        return label(own)
+        if rows is None:
+            return label(own)
+        none = F.lit(None)
+        whole = F.coalesce((F.col("hi") < BITS) & (F.bit_count("cols") == F.col("nf")), F.lit(False))
+        packed = rows.where((F.col("nf") > 0) & whole).select(*KEY, "r", *[none.cast(t).alias(x) for x, t in (("c0", "int"), ("c1", "int"), ("n", "long"))], "cols")
+        others = rows.where((F.col("nf") > 0) & ~whole).select(*KEY, *band(rows), "r").transform(keep)
+        if others.isEmpty():
+            return label(packed)
+        at = [*KEY, *band(cells), "r"]
+        own = cells.where(filled()).join(others.hint("shuffle_hash"), at, "left_semi").select(*KEY, "r", F.col("c").alias("c0"), F.col("c").alias("c1"), one, none.cast("long").alias("cols"))
+        return label(packed.unionByName(own))
     # of sheets with more cells than a task takes, the runs may still be few enough
     runs = row_runs(cells.join(many, KEY, "left_semi"), gap).transform(keep)
     large = runs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > TASK_RUNS).select(*KEY).transform(keep)
@@ -227,18 +252,23 @@ def format_boundaries(formats: DataFrame) -> DataFrame:
     return out.withColumn("is_boundary", F.col("header_starts") | F.col("borders_change") | F.col("table_ends"))
 
 
-def boundary_rows(cells: DataFrame) -> DataFrame:
-    """Rows (key, r) that start a new table by their format. Sheets without a border and without a background are judged by counts of bold cells alone, which needs no lists of cells."""
+def boundary_rows(cells: DataFrame, rows: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """rows: simple.row_totals of the sheets among, if at hand. Rows (key, r) that start a new table by their format. Sheets without a border and without a background are judged by counts of bold cells alone, which needs no lists of cells."""
     border = bordered(SIDES[0]) | bordered(SIDES[1]) | bordered(SIDES[2]) | bordered(SIDES[3])
-    dressed = cells.where(border | F.col("bg_color").isNotNull()).select(*KEY).distinct().transform(keep)
-    plain = cells.where(filled()).groupBy(*KEY, "r").agg((F.count_if("is_bold") / F.count(F.lit(1)) >= 0.7).alias("is_header"))
+    dressed = cells.where(border | F.col("bg_color").isNotNull()).select(*KEY).distinct()
+    dressed = (dressed if among is None else dressed.join(among.select(*KEY), KEY, "left_semi")).transform(keep)
+    rows = row_totals(cells) if rows is None else rows
+    plain = rows.where("nf > 0").select(*KEY, *band(rows), "r", (F.col("bold") / F.col("nf") >= 0.7).alias("is_header"))
+    # a header below another row: no other sheet can have a start
+    lower = plain.groupBy(*KEY).agg(F.min("r").alias("top"), F.max(F.when(F.col("is_header"), F.col("r"))).alias("low")).where("low > top").select(*KEY).transform(keep)
+    plain = on_sheets(plain, lower)
     none = dressed.isEmpty()
     plain = plain if none else plain.join(dressed, KEY, "left_anti")
     before = F.lag("is_header").over(Window.partitionBy(*KEY).orderBy("r"))
     found = plain.withColumn("starts", ~before & F.col("is_header")).where("starts").select(*KEY, "r")
     if none:
         return found
-    return found.unionByName(format_boundaries(row_formats(cells.join(dressed, KEY, "left_semi"))).where("is_boundary").select(*KEY, "r"))
+    return found.unionByName(format_boundaries(row_formats(on_sheets(cells, dressed, rows))).where("is_boundary").select(*KEY, "r"))
 
 
 def split_at_boundaries(runs: DataFrame, marks: DataFrame, min_size: int = SMALL_SIZE) -> DataFrame:
@@ -384,44 +414,46 @@ def merge_parts(parts: DataFrame, runs: DataFrame, config: Config) -> DataFrame:
     return parts.join(merged, [*KEY, *ISLAND, "part"], "left").withColumn("seq", F.coalesce("seq", F.lit(0)))
 
 
-def detect(cells: DataFrame, config: Config = Config()) -> DataFrame:
-    """Islands of each sheet: seq, n, bounds and all scores."""
-    size = totals(cells).transform(keep)
-    runs = components(cells, config.max_gap, size=size).transform(keep)
+def detect(cells: DataFrame, config: Config = Config(), size: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Islands of each sheet: seq, n, bounds and all scores. size, rows: totals and simple.row_totals of the sheets to look at, where cells may have more."""
+    own = cells if rows is None else on_sheets(cells, size, rows)
+    size = totals(cells).transform(keep) if size is None else size
+    runs = components(own, config.max_gap, size=size, rows=rows).transform(keep)
     islands = extents(runs, ISLAND).join(size, KEY).where(F.col("n") >= least_size(F.col("total"), config))
     islands = islands.withColumns({"whole": F.col("n"), "part": F.lit(0)}).transform(keep)
     parts = islands
     if config.use_border_detection:
-        marks = boundary_rows(cells).transform(keep)
+        marks = boundary_rows(cells, rows, size).transform(keep)
         cut = islands.join(marks, KEY).where((F.col("r1") - F.col("r0") > 3) & (F.col("r") > F.col("r0")) & (F.col("r") <= F.col("r1"))).select(*KEY, *ISLAND).distinct().transform(keep)
         if not cut.isEmpty():
             by = [*KEY, *ISLAND]
             pieces = extents(split_at_boundaries(runs.join(cut, by, "left_semi"), marks, config.min_island_size), [*ISLAND, "part"])
             facts = islands.select(*by, "whole", "total", "max_row", "max_col")
             parts = islands.join(cut, by, "left_anti").unionByName(pieces.join(facts, by)).transform(keep)
-    every = runs if config.max_gap <= 1 else row_runs(cells, 1)  # up to gap 1 a run has no hole
+    every = runs if config.max_gap <= 1 else row_runs(own, 1)  # up to gap 1 a run has no hole
     whole = merge_parts(parts, every, config).groupBy(*KEY, "seq").agg(F.sum("n").alias("n"), F.min("r0").alias("r0"), F.min("c0").alias("c0"), F.max("r1").alias("r1"), F.max("c1").alias("c1"))
-    return score(cells, whole, ["seq"])
+    return score(cells, whole, ["seq"], size)
 
 
 # ---- scores
 
 
-def measure(cells: DataFrame, islands: DataFrame, ids: list[str]) -> DataFrame:
+def measure(cells: DataFrame, islands: DataFrame, ids: list[str], size: DataFrame | None = None) -> DataFrame:
     """ids, n, bounds -> every component of the score, from one join of cells with bounds widened by the ring of 2.
 
     Cells are counted by all that the score looks at, once; each component is a sum of those counts.
     """
-    size = totals(cells)
+    size = totals(cells) if size is None else size
+    near = band(cells)
     own = [*KEY, *ids, "n", "r0", "c0", "r1", "c1"]
     sig = F.concat_ws("", *[F.coalesce(F.col(s), F.lit("")).rlike(".").cast("int").cast("string") for s in SIDES])
     looked = {"v": valued(), "f": filled(), "vtype": F.col("vtype"), "is_bold": F.col("is_bold"), "halign": F.col("halign"), "sig": sig, **{x: F.col(x) for x in ("font_size", "font_color", "bg_color")}}
     r, c = F.col("r"), F.col("c")
-    at = join_regions(cells.select(*KEY, "r", "c", *[x.alias(n) for n, x in looked.items()]), islands.select(*own), 2)
+    at = join_regions(cells.select(*KEY, *near, "r", "c", *[x.alias(n) for n, x in looked.items()]), islands.select(*own), 2)
     box = r.between(F.col("r0"), F.col("r1")) & c.between(F.col("c0"), F.col("c1"))
     line = F.when(~box, -1).when(r == F.col("r0"), 0).when(r == F.col("r0") + 1, 1).otherwise(2)
     inside = [F.when(box, F.col(x)).alias(x) for x in ("c", *looked) if x != "f"]
-    counted = at.select(*own, line.alias("line"), "f", *inside)
+    counted = at.select(*own, *near, line.alias("line"), "f", *inside)
     counted = counted.groupBy(counted.columns).agg(F.count(F.lit(1)).alias("k")).transform(keep)
     tally = lambda on: F.coalesce(F.sum(F.when(on, F.col("k"))), F.lit(0))
     first = F.col("line") == 0
@@ -484,8 +516,8 @@ def confidence() -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), weighed / total))
 
 
-def score(cells: DataFrame, islands: DataFrame, ids: list[str]) -> DataFrame:
-    return measure(cells, islands.transform(keep), ids).withColumn("confidence", confidence())
+def score(cells: DataFrame, islands: DataFrame, ids: list[str], size: DataFrame | None = None) -> DataFrame:
+    return measure(cells, islands.transform(keep), ids, size).withColumn("confidence", confidence())
 
 
 # ---- structural rows

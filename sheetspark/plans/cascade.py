@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.addr import column_letter
 from ..model import KEY, Config, valued
 from ..operators import boxes, islands, simple, structured
-from ..store import keep
-from ..operators.grid import join_regions, totals_of
+from ..store import keep, keep_buckets
+from ..operators.grid import band, join_regions, laid, on_sheets, totals_of
 
 OUT = [*KEY, "table_id", "r0", "c0", "r1", "c1", "confidence", "method", "has_headers"]
 BOUNDS = ["r0", "c0", "r1", "c1"]
@@ -25,11 +25,13 @@ def detect_tables(cells: DataFrame, sheets: DataFrame | None = None, config: Con
 
     sheets may give file_type by sheet; text types skip boxes and use the structured detector for tsv and txt.
     """
-    kinds = cells.select(*KEY).distinct() if sheets is None else sheets.select(*KEY, F.col("file_type") if "file_type" in sheets.columns else F.lit(None).cast("string").alias("file_type"))
+    cells = laid(cells)
+    rows, size = simple.sums(cells)
+    kinds = size.select(*KEY) if sheets is None else sheets.select(*KEY, F.col("file_type") if "file_type" in sheets.columns else F.lit(None).cast("string").alias("file_type"))
     if "file_type" not in kinds.columns:
         kinds = kinds.withColumn("file_type", F.lit(None).cast("string"))
     threshold = config.confidence_threshold
-    s = simple.detect(cells).where(F.col("is_simple") & F.lit(config.enable_simple))
+    s = simple.judged(cells, rows, size).where(F.col("is_simple") & F.lit(config.enable_simple))
     area = (F.col("max_row") + 1) * (F.col("max_col") + 1)
     ultra = (F.col("confidence") >= ULTRA_FAST) & (area > LARGE_AREA)
     s = s.withColumn("method", F.when(ultra, "ultra_fast").when(F.col("confidence") >= FAST, "simple_case_fast"))
@@ -39,35 +41,35 @@ def detect_tables(cells: DataFrame, sheets: DataFrame | None = None, config: Con
     open_ = kinds.join(done.select(*KEY), KEY, "left_anti").transform(keep)
 
     if not open_.isEmpty():
-        found += _later(cells, s, open_, threshold, config)
+        found += _later(cells, rows, size, s, open_, threshold, config)
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    return _finish(cells, every.transform(keep), config)
+    return _finish(cells, size, every.transform(keep), config)
 
 
-def _later(cells: DataFrame, s: DataFrame, open_: DataFrame, threshold: float, config: Config) -> list[DataFrame]:
+def _later(cells: DataFrame, rows: DataFrame, size: DataFrame, s: DataFrame, open_: DataFrame, threshold: float, config: Config) -> list[DataFrame]:
     """Tables of the sheets that are still open: boxes, then islands or text structure, then a weaker single table."""
     found = []
 
-    def rest(of: DataFrame) -> DataFrame:
-        return cells.join(of.select(*KEY), KEY, "left_semi").transform(keep)
+    def rest(x: DataFrame, of: DataFrame) -> DataFrame:
+        return keep_buckets(on_sheets(x, of, rows), [*KEY, "_band"], dealt=True)
 
     text = F.coalesce(F.col("file_type").isin("tsv", "txt"), F.lit(False))
     if config.enable_boxes and config.use_border_detection:
-        where = rest(open_.where(~F.coalesce(F.col("file_type").isin("csv", "tsv", "txt"), F.lit(False))))
-        b = boxes.detect(where)
+        b = boxes.detect(cells, open_.where(~F.coalesce(F.col("file_type").isin("csv", "tsv", "txt"), F.lit(False))), rows)
         b = b.transform(keep)
-        b = b.join(_has_headers(where, b), [*KEY, "table_id"]).select(*OUT).transform(keep)
+        b = b.join(_has_headers(cells, b), [*KEY, "table_id"]).select(*OUT).transform(keep)
         found.append(b)
         open_ = open_.join(b.select(*KEY).distinct(), KEY, "left_anti").transform(keep)
     if config.enable_islands:
         texts, others = open_.where(text).transform(keep), open_.where(~text).transform(keep)
         parts = []
         if not texts.isEmpty():
-            parts.append(structured.detect(rest(texts)).withColumn("has_headers", F.col("instrument_output")).select(*OUT).transform(keep))
+            parts.append(structured.detect(rest(cells, texts)).withColumn("has_headers", F.col("instrument_output")).select(*OUT).transform(keep))
         if not others.isEmpty():
-            i = islands.detect(rest(others), config).where(F.col("confidence") >= threshold)
+            own = size.select(*KEY, "total", "max_row", "max_col").join(others, KEY, "left_semi").transform(keep)
+            i = islands.detect(cells, config, own, rest(rows, others)).where(F.col("confidence") >= threshold)
             parts.append(i.withColumns({"table_id": F.concat_ws("_", F.lit("island"), "r0", "c0"), "method": F.lit("island_detection")}).select(*OUT).transform(keep))
         found += parts
         for x in parts:
@@ -82,15 +84,15 @@ def _has_headers(cells: DataFrame, tables: DataFrame) -> DataFrame:
     return at.groupBy(*KEY, "table_id").agg(simple.header_flags(F.col("r") == F.col("r0"), F.col("r") == F.col("r0") + 1).alias("has_headers"))
 
 
-def size_filter(cells: DataFrame, tables: DataFrame, share: float = 0.005) -> DataFrame:
+def size_filter(cells: DataFrame, tables: DataFrame, share: float = 0.005, totals: DataFrame | None = None) -> DataFrame:
     """tables with n_cells (cells with a value) and total (stored cells of the sheet), those under the share of the sheet left out."""
-    counted = join_regions(cells.where(valued()).select(*KEY, "r", "c"), tables.select(*KEY, "table_id", *BOUNDS)).groupBy(*KEY, "table_id").agg(F.count(F.lit(1)).alias("n_cells"))
-    out = tables.join(counted, [*KEY, "table_id"], "left").fillna({"n_cells": 0}).join(totals_of(cells), KEY)
+    counted = join_regions(cells.where(valued()).select(*KEY, *band(cells), "r", "c"), tables.select(*KEY, "table_id", *BOUNDS)).groupBy(*KEY, "table_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    out = tables.join(counted, [*KEY, "table_id"], "left").fillna({"n_cells": 0}).join(totals_of(cells) if totals is None else totals, KEY)
     return out.where(F.col("n_cells") >= F.floor(F.col("total") * share))
 
 
-def _finish(cells: DataFrame, tables: DataFrame, config: Config) -> DataFrame:
-    out = size_filter(cells, tables, config.min_table_percentage if config.adaptive_thresholds else 0.0)
+def _finish(cells: DataFrame, size: DataFrame, tables: DataFrame, config: Config) -> DataFrame:
+    out = size_filter(cells, tables, config.min_table_percentage if config.adaptive_thresholds else 0.0, size.select(*KEY, "total"))
     if config.min_table_size:
         out = out.where((F.col("r1") - F.col("r0") + 1 >= config.min_table_size[0]) & (F.col("c1") - F.col("c0") + 1 >= config.min_table_size[1]))
     first = [F.desc("n_cells")] if config.prefer_large_tables else []

@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def keep_buckets(df: DataFrame, by: list[str], dealt: bool = False) -> DataFrame:
+    """df written in buckets by the columns and read back, so that joins and sums on them move none of its rows. dealt: it lies by them already."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"sheetspark_{uuid.uuid4().hex}"
+    out = df if dealt else df.repartition(n, *by)
+    out.write.format("parquet").bucketBy(n, *by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay
+    return found
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df written and read back."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"

@@ -298,3 +298,23 @@ def test_parts_are_merged_in_batches(spark):
     got = islands.merge_parts(parts, spark.createDataFrame(runs, "file_id string, sheet_idx int, r int, c0 int, c1 int"), Config())
     assert "CoGroups" not in got._jdf.queryExecution().toString()
     assert {n: len({x.seq for x in got.collect() if x.file_id == n}) for n in bounds} == {"near": 1, "far": 2, "one": 1}
+
+
+def test_cascade_moves_no_cells(spark, tmp_path):
+    """Cells are laid by sheet and row band once: sums, choices of sheets and regions leave them where they lie, and labels come from bits of rows."""
+    wide = [("w", r, c) for r in range(3) for c in (*range(60, 70), 130)]
+    tall = [("t", r, c) for r in (*range(70), 80, 81) for c in (0, 1, 3, 63)]
+    cells = complete(spark.createDataFrame([(f, r, c, "x") for f, r, c in wide + tall], "file_id string, r int, c int, val_str string"))
+    lying = grid.laid(cells)
+    rows, size = simple.sums(lying)
+    sheets = size.select(*KEY, "total", "max_row", "max_col")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(lying.groupBy(*KEY, "_band", "r").count()).count("Exchange") == 0
+    regions = spark.createDataFrame([("t", 0, 0, 1, 60, 3)], "file_id string, sheet_idx int, r0 int, c0 int, r1 int, c1 int")
+    assert plan(grid.join_regions(lying, regions)).count("Exchange hashpartitioning") <= 1
+    assert grid.join_regions(lying, regions).count() == 61 * 2
+    of = lambda df: sorted(map(tuple, df.select(*KEY, "r", "c0", "c1", "n", "ir", "ic").collect()))
+    assert of(islands.components(lying, size=sheets, rows=rows)) == of(islands.components(cells))
+    every = lambda df: sorted(map(str, df.collect()))
+    assert every(simple.detect(lying)) == every(simple.detect(cells))
+    assert every(islands.detect(lying, Config(), sheets, rows)) == every(islands.detect(cells, Config()).select(islands.detect(lying, Config(), sheets, rows).columns))
